@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from calipra.llm.bpe import bpe_round_trip
 from calipra.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
+from calipra.llm.sharding import shard_rows
+from calipra.llm.topk import top_k
+from calipra.llm.url_filter import UrlModel, judge_urls, seed_urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,9 +28,24 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_read(spark, sf_dir, "pages"), UrlModel(seed_urls()))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(_read(spark, sf_dir, "documents")).drop("copy")
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
+    "op3_url_filter": op3_url_filter,
+    "op9_sharding": op9_sharding,
+    "op10_top_k": op10_top_k,
 }
 
 ORACLE_SQL = {
@@ -52,4 +70,13 @@ SELECT d.doc_id, d.source,
   CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines,
   CAST(CASE WHEN n_bad < n_lines THEN n_bad ELSE 0 END AS INTEGER) AS n_dropped
 FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id""",
+    "op10_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }
