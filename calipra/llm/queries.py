@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calipra.llm.bpe import bpe_round_trip
+from calipra.llm.decontam import decontaminate
 from calipra.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
 from calipra.llm.sharding import shard_rows
 from calipra.llm.topk import top_k
@@ -32,6 +33,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"), UrlModel(seed_urls()))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_read(spark, sf_dir, "documents")).drop("copy")
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
     "op3_url_filter": op3_url_filter,
+    "op4_decontamination": op4_decontamination,
     "op9_sharding": op9_sharding,
     "op10_top_k": op10_top_k,
 }
@@ -70,6 +76,28 @@ SELECT d.doc_id, d.source,
   CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines,
   CAST(CASE WHEN n_bad < n_lines THEN n_bad ELSE 0 END AS INTEGER) AS n_dropped
 FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id""",
+    "op4_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+runs AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
+hit AS (SELECT r.doc_id, r.i, r.n, win.item_id FROM runs r JOIN win ON r.s = win.s AND r.n = win.n),
+n_hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(i.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n_hit h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id""",
     "op10_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
