@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from calipra.llm.bpe import bpe_round_trip
 from calipra.llm.decontam import decontaminate
 from calipra.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
+from calipra.llm.near_dup import near_dup_groups
 from calipra.llm.sharding import shard_rows
 from calipra.llm.topk import top_k
 from calipra.llm.url_filter import UrlModel, judge_urls, seed_urls
@@ -37,6 +38,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup_groups(_read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_read(spark, sf_dir, "documents")).drop("copy")
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_url_filter": op3_url_filter,
     "op4_decontamination": op4_decontamination,
+    "op5_near_dup": op5_near_dup,
     "op9_sharding": op9_sharding,
     "op10_top_k": op10_top_k,
 }
