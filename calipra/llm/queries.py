@@ -12,6 +12,7 @@ from calipra.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
 from calipra.llm.near_dup import near_dup_groups
 from calipra.llm.sharding import shard_rows
 from calipra.llm.topk import top_k
+from calipra.llm.toxicity import fit, score_toxicity
 from calipra.llm.url_filter import UrlModel, judge_urls, seed_urls
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,6 +43,11 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_groups(_read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_read(spark, sf_dir, "documents")).drop("copy")
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_decontamination": op4_decontamination,
     "op5_near_dup": op5_near_dup,
+    "op6_toxicity": op6_toxicity,
     "op9_sharding": op9_sharding,
     "op10_top_k": op10_top_k,
 }
