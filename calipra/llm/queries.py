@@ -11,9 +11,11 @@ from calipra.llm.decontam import decontaminate
 from calipra.llm.line_dedup import MAX_RATIO, MIN_PAGES, line_dedup
 from calipra.llm.near_dup import near_dup_groups
 from calipra.llm.sharding import shard_rows
+from calipra.llm.token_store import store_round_trip
 from calipra.llm.topk import top_k
 from calipra.llm.toxicity import fit, score_toxicity
 from calipra.llm.url_filter import UrlModel, judge_urls, seed_urls
+from calipra.llm.warc import warc_round_trip
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -48,6 +50,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_read(spark, sf_dir, "documents")).drop("copy")
 
@@ -63,6 +73,8 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_near_dup": op5_near_dup,
     "op6_toxicity": op6_toxicity,
+    "op7_token_store": op7_token_store,
+    "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_top_k": op10_top_k,
 }
