@@ -2,5 +2,360 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from calipra.functions import fixed
+from calipra.functions.parse import line_pattern, safe_correction, with_parsed
+from calipra.functions.text import is_filler_line, is_symbol_junk, is_telemetry, normalize_space, stable_split
+from calipra.operators import evaluate, lexicon, results
+from calipra.plans.fixtures import SQL_LINES, lines, read
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function as the query of its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def parsed(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
+    """The derived lines, parsed once."""
+    return with_parsed(lines(spark, sf_dir), text)
+
+
+@query(f"WITH {SQL_LINES} SELECT file_name, split, pos, prefix, label, value, unit, text, corruption, engine_name FROM got")
+def derived_lines(spark, sf_dir):
+    return lines(spark, sf_dir).select("file_name", "split", "pos", "prefix", "label", "value", "unit", "text", "corruption", "engine_name")
+
+
+@query(f"WITH {SQL_LINES} SELECT file_name, pos, g_text AS canonical FROM got")
+def canonical_lines(spark, sf_dir):
+    return parsed(spark, sf_dir, "pred_text").select("file_name", "pos", "canonical")
+
+
+@query(f"WITH {SQL_LINES} SELECT file_name, pos, prefix, g_label AS label, g_value AS value, g_unit AS unit, 1.0::DOUBLE AS confidence, true AS is_measurement, lower(label) AS family FROM got")
+def parsed_lines(spark, sf_dir):
+    d = parsed(spark, sf_dir, "pred_text")
+    return d.select("file_name", "pos", *[F.col(f"parsed.{c}") for c in ("prefix", "label", "value", "unit", "confidence", "is_measurement", "family")])
+
+
+@query(f"WITH {SQL_LINES} SELECT file_name, pos, concat_ws(' ', CASE WHEN prefix IS NOT NULL THEN '<PREFIX>' END, lower(label), '<VALUE>', '<UNIT:' || lower(g_unit) || '>') AS pattern FROM got")
+def line_patterns(spark, sf_dir):
+    return parsed(spark, sf_dir, "pred_text").select("file_name", "pos", line_pattern(F.col("parsed")).alias("pattern"))
+
+
+@query(f"WITH {SQL_LINES} SELECT lower(label) AS family, unit, count(*) AS n, min(CAST(value AS DOUBLE)) AS min_value, max(CAST(value AS DOUBLE)) AS max_value, round(avg(CAST(value AS DOUBLE)), 6) AS mean_value FROM got GROUP BY ALL")
+def family_value_stats(spark, sf_dir):
+    return lexicon.value_stats(parsed(spark, sf_dir), "unit")
+
+
+@query(f"WITH {SQL_LINES} SELECT lower(label) AS family, unit, count(*) AS n FROM got GROUP BY ALL")
+def family_units(spark, sf_dir):
+    return lexicon.family_units(parsed(spark, sf_dir))
+
+
+@query(f"WITH {SQL_LINES} SELECT lower(label) AS family, CAST(pos AS VARCHAR) AS line_order, count(*) AS n FROM got GROUP BY ALL")
+def family_orders(spark, sf_dir):
+    return lexicon.family_orders(parsed(spark, sf_dir))
+
+
+@query(f"WITH {SQL_LINES} SELECT lower(label) AS family, count(*) AS n FROM got WHERE split = 'train' GROUP BY ALL")
+def family_counts(spark, sf_dir):
+    return lexicon.family_counts(lexicon.of_splits(parsed(spark, sf_dir), "train"))
+
+
+@query(f"WITH {SQL_LINES} SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(label), ' ')) AS token FROM got) GROUP BY ALL")
+def token_counts(spark, sf_dir):
+    return lexicon.token_counts(parsed(spark, sf_dir))
+
+
+@query(f"WITH {SQL_LINES} SELECT unit, count(*) AS n FROM got GROUP BY ALL")
+def unit_counts(spark, sf_dir):
+    return lexicon.unit_counts(parsed(spark, sf_dir))
+
+
+@query(f"WITH {SQL_LINES} SELECT prefix, count(*) AS n FROM got WHERE prefix IS NOT NULL GROUP BY ALL")
+def prefix_counts(spark, sf_dir):
+    return lexicon.prefix_counts(parsed(spark, sf_dir))
+
+
+@query(f"WITH {SQL_LINES} SELECT concat_ws(' ', CASE WHEN prefix IS NOT NULL THEN '<PREFIX>' END, lower(label), '<VALUE>', '<UNIT:' || lower(unit) || '>') AS pattern, count(*) AS n FROM got GROUP BY ALL")
+def pattern_counts(spark, sf_dir):
+    return lexicon.pattern_counts(parsed(spark, sf_dir))
+
+
+@query(f"WITH {SQL_LINES} SELECT split, count(*) AS n FROM got GROUP BY ALL")
+def split_counts(spark, sf_dir):
+    return lexicon.split_counts(parsed(spark, sf_dir))
+
+
+@query(f"WITH {SQL_LINES} SELECT text AS canonical, count(*) AS n FROM got GROUP BY ALL")
+def exact_line_counts(spark, sf_dir):
+    return lexicon.exact_line_counts(parsed(spark, sf_dir))
+
+
+@query(f"WITH {SQL_LINES} SELECT family, unit, n FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, unit) AS r FROM (SELECT lower(label) AS family, unit, count(*) AS n FROM got GROUP BY ALL)) WHERE r = 1")
+def preferred_unit(spark, sf_dir):
+    return lexicon.preferred_units(parsed(spark, sf_dir))
+
+
+@query(f"WITH {SQL_LINES} SELECT lower(label) AS family, count(DISTINCT text) AS n_lines, min(text) AS exemplar FROM got GROUP BY ALL")
+def family_exemplar(spark, sf_dir):
+    return lexicon.exemplars(parsed(spark, sf_dir))
+
+
+@query(f"WITH {SQL_LINES} SELECT family, next_family, count(*) AS n FROM (SELECT lower(label) AS next_family, lag(lower(label)) OVER (PARTITION BY file_name ORDER BY pos) AS family FROM got) WHERE family IS NOT NULL GROUP BY ALL")
+def family_transitions(spark, sf_dir):
+    return lexicon.transitions(parsed(spark, sf_dir))
+
+
+# documents, pages and conversations as junk
+
+_DOC_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents"
+
+
+def _doc_lines(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+
+
+@query(f"SELECT doc_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(lower(line), '{'|'.join(fixed.TELEMETRY_WORDS)}')) AS n_telemetry FROM ({_DOC_LINES}) GROUP BY doc_id")
+def telemetry_filter(spark, sf_dir):
+    d = _doc_lines(spark, sf_dir).withColumn("t", is_telemetry(F.col("line"), F.lit(None).cast("string")))
+    return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("t").alias("n_telemetry"))
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, trim(regexp_replace(line, '\s+', ' ', 'g')) AS x FROM ({_DOC_LINES})),
+c AS (SELECT *, length(regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')) AS n, length(regexp_replace(x, '[\p{{L}}\p{{N}}\s]', '', 'g')) AS p FROM l)
+SELECT doc_id, count(*) FILTER (x = '' OR regexp_matches(x, '[\x{{4e00}}-\x{{9fff}}\x{{0400}}-\x{{04ff}}]|\\mathbf|\\text|\\Delta') OR n <= 1 OR p >= greatest(4, n * 2)) AS n_junk FROM c GROUP BY doc_id""")
+def symbol_junk(spark, sf_dir):
+    d = _doc_lines(spark, sf_dir).withColumn("j", is_symbol_junk(normalize_space(F.col("line"))))
+    return d.groupBy("doc_id").agg(F.count_if("j").alias("n_junk"))
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, trim(line) AS x FROM ({_DOC_LINES})),
+c AS (SELECT *, length(regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')) AS n, length(regexp_replace(x, '[\p{{L}}\p{{N}}\s]', '', 'g')) AS p FROM l)
+SELECT doc_id, count(*) FILTER (x = '' OR regexp_matches(x, '^[_.\-/ ~]*$') OR n = 0 OR (n <= 2 AND p >= greatest(2, n))) AS n_filler FROM c GROUP BY doc_id""")
+def filler_lines(spark, sf_dir):
+    d = _doc_lines(spark, sf_dir).withColumn("j", is_filler_line(F.col("line")))
+    return d.groupBy("doc_id").agg(F.count_if("j").alias("n_filler"))
+
+
+@query("SELECT doc_id, CASE WHEN CAST('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967295.0 < 0.1 THEN 'val' ELSE 'train' END AS split FROM documents")
+def stable_splits(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", stable_split(F.col("doc_id").cast("string"), 0.1).alias("split"))
+
+
+# measurements
+
+_RESULTS = f"""{SQL_LINES},
+m AS (SELECT file_name, pos, concat_ws(' ', prefix, g_label) AS name, g_value AS value, g_unit AS unit, confidence FROM got),
+k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS name_key FROM m)"""
+
+
+def measurements(spark, sf_dir):
+    d = parsed(spark, sf_dir, "pred_text").filter("parsed.is_measurement")
+    return d.select("file_name", "pos", F.col("parsed.display_name").alias("name"), F.col("parsed.value").alias("value"), F.col("parsed.unit").alias("unit"), "confidence")
+
+
+@query(f"WITH {_RESULTS} SELECT file_name, pos, name, value, coalesce(unit, last_value(unit IGNORE NULLS) OVER (PARTITION BY file_name, name_key, value ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS unit FROM k")
+def unit_backfill(spark, sf_dir):
+    return results.backfill_units(measurements(spark, sf_dir), "file_name").select("file_name", "pos", "name", "value", "unit")
+
+
+@query(f"WITH {_RESULTS} SELECT file_name, pos, name, value, unit, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY lower(name), value, lower(coalesce(unit, '')), split_part(file_name, '9', 1) ORDER BY confidence DESC, file_name, pos) AS r FROM k) WHERE r = 1")
+def dedup_best_confidence(spark, sf_dir):
+    d = measurements(spark, sf_dir).withColumn("grp", F.split_part("file_name", F.lit("9"), F.lit(1))).withColumn("at", F.struct("file_name", "pos"))
+    return results.best_confidence(d, "grp", order="at").select("file_name", "pos", "name", "value", "unit", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {_RESULTS} SELECT file_name, CAST(row_number() OVER (PARTITION BY file_name ORDER BY pos) AS INTEGER) AS text_order, name FROM k")
+def ordered_measurements(spark, sf_dir):
+    from pyspark.sql import Window
+
+    return measurements(spark, sf_dir).select("file_name", F.row_number().over(Window.partitionBy("file_name").orderBy("pos")).alias("text_order"), "name")
+
+
+@query(f"""WITH {_RESULTS}
+SELECT file_name, name, value, unit, first_pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_name, name_key, value, lower(coalesce(unit, '')) ORDER BY length(name) DESC, pos) AS r,
+    min(pos) OVER (PARTITION BY file_name, name_key, value, lower(coalesce(unit, ''))) AS first_pos FROM k) WHERE r = 1""")
+def collapse_variants(spark, sf_dir):
+    return results.collapse_variants(measurements(spark, sf_dir), "file_name").select("file_name", "name", "value", "unit", "first_pos")
+
+
+@query(f"""WITH {SQL_LINES},
+b AS (SELECT file_name, pos, CASE WHEN pos % 2 = 0 THEN 'LVOT maxPG' ELSE 'AV Vmax' END AS label, CAST(CAST(CAST(value AS DOUBLE) AS INTEGER) % 12 AS VARCHAR) AS value, CASE WHEN pos % 5 = 0 THEN 'cm' ELSE 'mmHg' END AS unit FROM got)
+SELECT file_name, pos, value,
+  CASE WHEN label = 'LVOT maxPG' AND unit = 'mmHg' AND CAST(value AS INTEGER) BETWEEN 1 AND 9 THEN CAST(CAST(value AS INTEGER) + 10 AS VARCHAR) ELSE value END AS corrected_value,
+  CASE WHEN label = 'LVOT maxPG' AND unit = 'mmHg' AND CAST(value AS INTEGER) BETWEEN 1 AND 9 THEN 'implausible_value,rule_recovered_leading_digit' WHEN label = 'LVOT maxPG' AND unit = 'mmHg' AND CAST(value AS INTEGER) = 0 THEN 'implausible_value' ELSE '' END AS flags
+FROM b""")
+def safe_corrections(spark, sf_dir):
+    d = lines(spark, sf_dir).select("file_name", "pos", F.when(F.col("pos") % 2 == 0, "LVOT maxPG").otherwise("AV Vmax").alias("label"), (F.col("value").cast("double").cast("int") % 12).cast("string").alias("value"), F.when(F.col("pos") % 5 == 0, "cm").otherwise("mmHg").alias("unit"))
+    c = safe_correction(F.col("label"), F.col("value"), F.col("unit"))
+    return d.withColumn("c", c).select("file_name", "pos", "value", F.col("c.corrected_value").alias("corrected_value"), F.array_join("c.flags", ",").alias("flags"))
+
+
+# evaluation
+
+
+def _items(spark, sf_dir, text):
+    d = parsed(spark, sf_dir, text)
+    return d.select("file_name", "split", "pos", F.struct(F.col("canonical").alias("line"), "parsed.prefix", "parsed.label", "parsed.value", "parsed.unit").alias("item"))
+
+
+_MATCHES = f"""{SQL_LINES},
+match AS (
+  SELECT file_name, split, engine_name, pos, text AS expected_text, g_text AS predicted_text, lower(text) = lower(g_text) AS line_match, true AS prefix_match, true AS label_match,
+    abs(CAST(value AS DOUBLE) - CAST(g_value AS DOUBLE)) <= 0.011 AS value_match, lower(coalesce(unit, '')) = lower(coalesce(g_unit, '')) AS unit_match FROM got)"""
+_RATES = ", ".join(f"sum({k}_match::INT) AS {k}_n, round(sum({k}_match::INT) / greatest(count(*), 1), 6) AS {k}_rate" for k in evaluate.PARTS)
+
+
+def _positional(spark, sf_dir):
+    return evaluate.positional_matches(_items(spark, sf_dir, "text"), _items(spark, sf_dir, "pred_text"))
+
+
+@query(f"WITH {_MATCHES} SELECT * EXCLUDE (split, engine_name) FROM match")
+def positional_match(spark, sf_dir):
+    return _positional(spark, sf_dir)
+
+
+@query(f"WITH {_MATCHES} SELECT split, count(*) AS n_lines, {_RATES} FROM match GROUP BY split")
+def match_rates(spark, sf_dir):
+    split = lines(spark, sf_dir).select("file_name", "split").distinct()
+    return evaluate.match_rates(_positional(spark, sf_dir).join(split, "file_name"), "split")
+
+
+_BUCKET = "CASE WHEN line_match THEN 'full_match' WHEN label_match AND value_match AND NOT unit_match THEN 'wrong_unit' WHEN label_match AND NOT value_match THEN 'wrong_value_same_label' ELSE 'partial_line_text_only' END"
+
+
+def _bucketed(spark, sf_dir):
+    m = _positional(spark, sf_dir)
+    split = lines(spark, sf_dir).select("file_name", "split").distinct()
+    return m.withColumn("bucket", evaluate.failure_bucket(F.col("predicted_text"), {k: F.col(f"{k}_match") for k in evaluate.PARTS})).join(split, "file_name")
+
+
+@query(f"WITH {_MATCHES} SELECT {_BUCKET} AS bucket, count(*) AS n FROM match GROUP BY ALL")
+def failure_buckets(spark, sf_dir):
+    return _bucketed(spark, sf_dir).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_MATCHES} SELECT split, bucket, count(*) AS n FROM (SELECT split, {_BUCKET} AS bucket FROM match) GROUP BY ROLLUP (split, bucket)")
+def bucket_rollup(spark, sf_dir):
+    return _bucketed(spark, sf_dir).rollup("split", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_MATCHES},
+pair AS (
+  SELECT e.file_name, e.pos, e.text AS expected_text, p.pos AS p_pos, p.g_text AS predicted_text, lower(e.text) = lower(p.g_text) AS line_match,
+    coalesce(e.prefix, '') = coalesce(p.prefix, '') AS prefix_match, lower(e.label) = lower(p.g_label) AS label_match, abs(CAST(e.value AS DOUBLE) - CAST(p.g_value AS DOUBLE)) <= 0.011 AS value_match,
+    lower(coalesce(e.unit, '')) = lower(coalesce(p.g_unit, '')) AS unit_match
+  FROM got e JOIN got p ON e.file_name = p.file_name),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY file_name, pos ORDER BY 100 * line_match::INT + 8 * prefix_match::INT + 4 * label_match::INT + 2 * value_match::INT + unit_match::INT DESC, p_pos) AS r FROM pair)
+SELECT file_name, pos, expected_text, predicted_text, line_match, prefix_match, label_match, value_match, unit_match,
+  CASE WHEN line_match THEN 'exact_match' WHEN label_match AND value_match AND unit_match AND NOT prefix_match THEN 'wrong_prefix' WHEN label_match AND value_match AND NOT unit_match THEN 'wrong_unit'
+    WHEN label_match AND NOT value_match THEN 'wrong_value' WHEN value_match AND NOT label_match THEN 'wrong_label_for_value' ELSE 'wrong_line' END AS error_type
+FROM best WHERE r = 1""")
+def best_match_with_reuse(spark, sf_dir):
+    return evaluate.best_with_reuse(_items(spark, sf_dir, "text"), _items(spark, sf_dir, "pred_text"))
+
+
+@query()
+def greedy_match(spark, sf_dir):
+    return evaluate.greedy_matches(_items(spark, sf_dir, "text"), _items(spark, sf_dir, "pred_text"))
+
+
+@query()
+def greedy_match_exact(spark, sf_dir):
+    return evaluate.greedy_matches(_items(spark, sf_dir, "text"), _items(spark, sf_dir, "pred_text"), "exact")
+
+
+@query(f"""WITH {_MATCHES},
+s AS (SELECT engine_name AS config, round(avg(line_match::INT), 6) AS exact_rate, round(avg(value_match::INT), 6) AS value_rate, count(*)::DOUBLE AS elapsed FROM match GROUP BY ALL)
+SELECT s.*, CAST(row_number() OVER (ORDER BY exact_rate DESC, value_rate DESC, elapsed, config) AS INTEGER) AS rank, round(exact_rate - (SELECT exact_rate FROM s WHERE config = 'A'), 6) AS delta FROM s""")
+def config_leaderboard(spark, sf_dir):
+    engine = lines(spark, sf_dir).select("file_name", "pos", F.col("engine_name").alias("config"))
+    m = _positional(spark, sf_dir).join(engine, ["file_name", "pos"])
+    s = m.groupBy("config").agg(F.round(F.avg(F.col("line_match").cast("int")), 6).alias("exact_rate"), F.round(F.avg(F.col("value_match").cast("int")), 6).alias("value_rate"), F.count(F.lit(1)).cast("double").alias("elapsed"))
+    return evaluate.leaderboard(s, "A")
+
+
+@query(f"""WITH {_MATCHES},
+a AS (SELECT DISTINCT file_name, expected_text, predicted_text FROM match WHERE NOT line_match),
+b AS (SELECT DISTINCT file_name, expected_text, predicted_text FROM match WHERE NOT value_match OR (pos % 2 = 0 AND NOT unit_match) OR pos % 7 = 0)
+(SELECT *, 'corrected' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) UNION ALL (SELECT *, 'regressed' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a))""")
+def rollout_diff(spark, sf_dir):
+    m = _positional(spark, sf_dir)
+    base, new = m.filter(~F.col("line_match")), m.filter(~F.col("value_match") | ((F.col("pos") % 2 == 0) & ~F.col("unit_match")) | (F.col("pos") % 7 == 0))
+    return evaluate.rollout_diff(base, new, "file_name", "expected_text", "predicted_text")
+
+
+# events
+
+
+@query("SELECT event_type AS engine, count(*) AS n, round(sum(value), 4) AS total_ms, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms FROM events GROUP BY ALL")
+def engine_latency(spark, sf_dir):
+    d = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("engine"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total_ms"), F.round(F.avg("value"), 6).alias("mean_ms"), F.round(F.percentile("value", 0.95), 6).alias("p95_ms"))
+
+
+@query(f"WITH {SQL_LINES} SELECT engine_name, split, count(*) AS n, count(DISTINCT file_name) AS n_files FROM got GROUP BY ALL")
+def engine_usage(spark, sf_dir):
+    return lines(spark, sf_dir).groupBy("engine_name", "split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_name").alias("n_files"))
+
+
+@query("""
+WITH e AS (SELECT event_id, ts, (event_type = 'purchase')::BIGINT AS a, (event_type = 'error')::BIGINT AS c FROM events),
+s AS (SELECT event_id, sum(a) OVER w AS approved_sum, sum(c) OVER w AS corrected_sum FROM e WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, CAST(approved_sum AS BIGINT) AS approved_sum, CAST(corrected_sum AS BIGINT) AS corrected_sum, round(CASE WHEN approved_sum + corrected_sum > 0 THEN approved_sum / (approved_sum + corrected_sum) ELSE 0 END, 9) AS accuracy FROM s""")
+def running_accuracy(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "ts", (F.col("event_type") == "purchase").cast("long").alias("approved"), (F.col("event_type") == "error").cast("long").alias("corrected"))
+    return results.running_accuracy(e, "ts", "event_id").select("event_id", "approved_sum", "corrected_sum", F.round("accuracy", 9).alias("accuracy"))
+
+
+# batch
+
+
+@query("SELECT o_orderkey AS file_id, o_orderstatus AS status FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def pending_files(spark, sf_dir):
+    done = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return read(spark, sf_dir, "orders").join(done, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderstatus").alias("status"))
+
+
+@query("SELECT l_orderkey AS file_id, count(*) AS n_lines FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY ALL")
+def resume_scope(spark, sf_dir):
+    open_ = read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return read(spark, sf_dir, "lineitem").join(open_, "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("file_id")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+_CHARS = "c AS (SELECT lower(unnest(string_split(regexp_replace(text, '[^A-Za-z]', '', 'g'), ''))) AS label FROM documents), n AS (SELECT label, count(*) AS n FROM c WHERE label <> '' GROUP BY label)"
+
+
+def _chars(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.explode(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), "")).alias("label"))
+    return d.filter("label <> ''").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_CHARS}, t AS (SELECT CAST(floor(quantile_cont(n, 0.2)) AS BIGINT) AS target FROM n) SELECT label, n, target, greatest(target - n, 0) AS quota FROM n, t")
+def class_balance(spark, sf_dir):
+    n = _chars(spark, sf_dir)
+    t = n.agg(F.floor(F.percentile("n", 0.2)).alias("target"))  # one row
+    return n.crossJoin(F.broadcast(t)).select("label", "n", "target", F.greatest(F.col("target") - F.col("n"), F.lit(0)).alias("quota"))
+
+
+@query(f"WITH {_CHARS} SELECT label, n, round((SELECT max(n) FROM n) / n, 9) AS weight FROM n")
+def class_weights(spark, sf_dir):
+    n = _chars(spark, sf_dir)
+    top = n.agg(F.max("n").alias("top"))  # one row
+    return n.crossJoin(F.broadcast(top)).select("label", "n", F.round(F.col("top") / F.col("n"), 9).alias("weight"))
