@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from calipra.llm.common import materialize
 
+#: Links that one task's union-find takes at once.
+LINKS = 500_000
+
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of a partition as links from each node to the smallest node that it reaches there. Memory: the partition's nodes."""
@@ -41,11 +44,14 @@ def _is_stars(links: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): of each node in links (u, v: long), the smallest node reachable, where that isn't itself.
 
-    A node of very many links is no task's burden: minima are taken before the shuffle, and the joins by node are ones that Spark
+    Few links are one task's work. Of more, a node of very many is no task's burden: minima are taken before the shuffle, and the joins by node are ones that Spark
     splits where a key is large. No links or labels reach the driver, only whether the work is done.
     """
-    links = links.filter(F.col("u") != F.col("v")).select(F.col("u").cast("long"), F.col("v").cast("long"))
-    e = materialize(links.mapInArrow(_forest, "u long, v long").distinct(), "forest")
+    links = materialize(links.filter(F.col("u") != F.col("v")).select(F.col("u").cast("long"), F.col("v").cast("long")), "all-links")
+    tasks = -(-links.count() // LINKS)
+    if tasks <= 1:  # one task's forest is one of stars
+        return links.coalesce(1).mapInArrow(_forest, "u long, v long").toDF("node", "component")
+    e = materialize(links.coalesce(tasks).mapInArrow(_forest, "u long, v long").distinct(), "forest")
     while not _is_stars(e):
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))

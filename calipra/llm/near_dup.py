@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calipra.llm.components import components
@@ -18,8 +18,11 @@ SHINGLE = 5
 PERCENT = 75
 #: Components of a signature, and of a band. A pair of just 0.75 shares no band once in 190,000 pairs: (1 - 0.75**4)**32.
 SIGNATURE, BAND = 128, 4
+#: Signatures that agree in fewer places than this (of 128; 96 are expected at 0.75, and 3.6 is the standard deviation) are not compared in
+#: the last round: a link fails to be seen once in some 200,000, about as with the bands.
+AGREE = 80
 #: Times that buckets elect a hub for their members to be held against, before what is still apart is compared.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 #: Members that one task holds against a hub, about.
 GROUP = 256
 #: Words whose hashes a worker remembers, and shingles whose signatures are made at once.
@@ -112,13 +115,31 @@ def bands(sig: np.ndarray, rows: int = BAND) -> np.ndarray:
     return h.view(np.int64)
 
 
+def marks(sig: np.ndarray) -> np.ndarray:
+    """The last byte of each place of signatures, eight to a 64-bit number."""
+    return np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64)
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """In how many places the marks in two array columns are the same."""
+    total = F.lit(SIGNATURE)
+    for i in range(SIGNATURE // 8):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        for k in (4, 2, 1):  # the last bit of each byte becomes 1 if any is
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        total = total - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets, n, keys, buckets, size = [], [], [], [], 0
+        sets, n, keys, buckets, places, size = [], [], [], [], [], 0
 
-        def flush(sets=sets, buckets=buckets):
+        def flush(sets=sets, buckets=buckets, places=places):
             if sets:
-                buckets.extend(bands(super_minhash(sets)))
+                sig = super_minhash(sets)
+                buckets.extend(bands(sig))
+                places.extend(marks(sig).tolist())
                 sets.clear()
 
         for t in batch.column(1):
@@ -136,7 +157,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate([b if k else b[:0] for b, k in zip(buckets, n, strict=True)]) if n else np.zeros(0, np.int64)
         ends = np.cumsum([0] + [len(b) if k else 0 for b, k in zip(buckets, n, strict=True)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), lists], names=["id", "n", "a", "b", "buckets"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), lists, pa.array(places, pa.list_(pa.int64()))], names=["id", "n", "a", "b", "buckets", "marks"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,23 +192,37 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "u long, v long")
 
 
+def _alone(texts: DataFrame) -> DataFrame:
+    """(id, alone): how many of a text's shingles no other one of texts has, where that isn't 0."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+
+    each = texts.select("id", "text").mapInArrow(split, "id long, set array<long>").select("id", F.explode("set").alias("s"))
+    alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (the smallest id reachable by links) and kept (whether that is the row's own id).
 
     Documents of equal sets become one first, under their smallest id. Those that share a band are candidates. In each
     round, each bucket with members of different components elects the one with most company (then: the smallest id), and each
     member outside that one's component is held against the best hub it has: one pair a document, and a group of copies
-    becomes one component without all its pairs. Then all pairs are compared that share a bucket, are still in different components and whose sizes
-    allow a link, till none is left: none that banding finds is lost. Sets are compared in full.
+    becomes one component without all its pairs. Then those are compared that share a bucket, are still in different components, and can
+    be linked: by their sizes, by how many of their shingles any other of these documents has, and by how far their signatures agree.
+    Links are confirmed on full sets.
 
     Null or empty texts, and those of blanks alone, have no shingles and are linked with nothing. Rows with a null id are
     linked with nothing: component_id is null and kept is true. Rows with equal ids are taken as one document: they share a
     component and are kept, or not, together. An empty table gives an empty result; other columns aren't read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    sketches = materialize(d.mapInArrow(_sketch, "id long, n long, a long, b long, buckets array<long>"), "sketches")
+    sketches = materialize(d.mapInArrow(_sketch, "id long, n long, a long, b long, buckets array<long>, marks array<long>"), "sketches")
     named = sketches.filter("id is not null and n > 0")
-    reps = materialize(named.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "sets")
+    reps = materialize(named.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("marks").alias("marks")), "sets")
     # one row for each bucket of two members or more, and member
     in_bucket = reps.select("rep", "n", F.explode("buckets").alias("bucket"))
     sizes = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -201,7 +236,7 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     several = named.groupBy("id").agg(F.countDistinct("a", "b").alias("k")).filter("k > 1")
     links = materialize(named.join(several, "id").join(reps, ["a", "b"]).select(F.col("id").alias("u"), F.col("rep").alias("v")), "same-id")
     tried = docs.sparkSession.createDataFrame([], "doc long, hub long")
-    label = components(links)
+    label = docs.sparkSession.createDataFrame([], "node long, component long") if links.isEmpty() else components(links)
     for turn in range(HUB_ROUNDS + 1):
         now = members.join(label, members["rep"] == label["node"], "left").select("bucket", "rep", "n", "company", F.coalesce("component", "rep").alias("c"))
         apart = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("company", (-F.col("rep")).alias("r"), "c")).alias("hub")).filter("lo < hi")
@@ -210,12 +245,22 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
             open_ = open_.filter(F.col("c") != F.col("hub.c")).select("rep", "hub")
             pairs = open_.groupBy("rep").agg(F.max("hub").alias("hub")).select(F.col("rep").alias("doc"), (-F.col("hub.r")).alias("hub"))
         else:
-            left = open_.select("bucket", F.col("rep").alias("doc"), F.col("n").alias("n1"), F.col("c").alias("c1"))
-            right = open_.select("bucket", F.col("rep").alias("hub"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            fits = (F.col("doc") < F.col("hub")) & (F.col("c1") != F.col("c2")) & (100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2"))
-            pairs = left.join(right, "bucket").filter(fits).select("doc", "hub").distinct()
-        again = tried.union(tried.select("hub", "doc")).toDF("doc", "hub")
-        pairs = materialize(pairs.join(again, ["doc", "hub"], "left_anti"), "pairs")
+            # a shingle that no other document here has is in no intersection
+            own = open_.select("rep").distinct()
+            alone = _alone(texts.join(own, texts["id"] == own["rep"], "left_semi"))
+            facts = own.join(reps, "rep").join(alone, F.col("rep") == alone["id"], "left").select("rep", "marks", "buckets", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+            rows = open_.select("bucket", "rep", "n", "c").join(facts, "rep")
+            left = rows.select("bucket", F.col("rep").alias("doc"), F.col("n").alias("n1"), F.col("c").alias("c1"), F.col("most").alias("m1"), F.col("marks").alias("k1"), F.col("buckets").alias("b1"))
+            right = rows.select("bucket", F.col("rep").alias("hub"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("most").alias("m2"), F.col("marks").alias("k2"), F.col("buckets").alias("b2"))
+            most = F.least("m1", "m2")
+            fits = (F.col("doc") < F.col("hub")) & (F.col("c1") != F.col("c2")) & (100 * most >= PERCENT * (F.col("n1") + F.col("n2") - most)) & (_agreeing("k1", "k2") >= AGREE)
+            # a pair that shares several buckets comes from the least of them
+            fits = fits & (F.array_min(F.array_intersect("b1", "b2")) == F.col("bucket"))
+            pairs = left.join(right, "bucket").filter(fits).select("doc", "hub")
+        if turn:
+            again = tried.union(tried.select("hub", "doc")).toDF("doc", "hub")
+            pairs = pairs.join(again, ["doc", "hub"], "left_anti")
+        pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             if turn < HUB_ROUNDS:
                 continue
