@@ -187,6 +187,9 @@ class Lexicon:
         return out
 
 
+N_FEATURES = 13
+
+
 def features(lexicon: Lexicon, text: str) -> list[float]:
     """Of a whole text: how many words; sums, counts and greatest weights of what the lexicon finds; the same for what stands in quotations."""
     low = text.lower()
@@ -195,7 +198,7 @@ def features(lexicon: Lexicon, text: str) -> list[float]:
     n = max(len(words), 1)
     found = [h for h in hits if h]
     if not found:
-        return [math.log(n)] + [0.0] * 12
+        return [math.log(n)] + [0.0] * (N_FEATURES - 1)
     own = [max(h[0], h[1]) for h in found]
     quoted = _quoted(lexicon, low)
     exact = [h[0] for h in found if h[0]]
@@ -243,11 +246,11 @@ class ToxicityModel:
             lexicon = Lexicon(split[1 - half :: 2])
             x += [features(lexicon, t) for t, _ in rows[half::2]]
             y += [v for _, v in rows[half::2]]
-        self.trees = BoostedTrees(trees=60, depth=3, rate=0.15).fit(np.array(x, float).reshape(len(x), -1), np.array(y, float))
+        self.trees = BoostedTrees(trees=60, depth=3, rate=0.15).fit(np.array(x, float).reshape(len(x), N_FEATURES), np.array(y, float))
         self.lexicon = Lexicon(split)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return self.trees.predict(np.array([features(self.lexicon, t) for t in texts], float).reshape(len(texts), -1)) if texts else np.zeros(0)
+        return self.trees.predict(np.array([features(self.lexicon, t) for t in texts], float).reshape(len(texts), N_FEATURES))
 
 
 def held_out(doc_id: Column) -> Column:

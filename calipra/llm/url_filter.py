@@ -97,8 +97,7 @@ class UrlModel:
                 hits[k] += y
         self.mean = (sum(hits.values()) + 1) / (sum(seen.values()) + 2)
         self.rate = {k: (hits[k] + prior * self.mean) / (n + prior) for k, n in seen.items() if n >= 3}
-        x = np.array([self.features(u) for u, _ in labelled]).reshape(len(labelled), -1)
-        self.trees = BoostedTrees().fit(x, np.array([y for _, y in labelled]))
+        self.trees = BoostedTrees().fit(self._matrix([u for u, _ in labelled]), np.array([y for _, y in labelled]))
 
     @staticmethod
     def _keys(url: str | None) -> set[tuple[str, str]]:
@@ -117,9 +116,12 @@ class UrlModel:
         host_digits = sum(c.isdigit() for c in host)
         return [len(url), len(host), len(path), path.count("/"), host.count("."), host.count("-"), host_digits, digits, _entropy(host), _entropy(path), len([q for q in query.split("&") if q]), top, rates[-1], rates[0], sum(rates) / len(rates)]
 
+    def _matrix(self, urls: list[str | None]) -> np.ndarray:
+        return np.array([self.features(u) for u in urls], float).reshape(len(urls), len(self.features(None)))
+
     def scores(self, urls: list[str | None]) -> np.ndarray:
         """The chance that each URL is one to block."""
-        return self.trees.predict(np.array([self.features(u) for u in urls]).reshape(len(urls), -1)) if urls else np.zeros(0)
+        return self.trees.predict(self._matrix(urls))
 
 
 def labelled_sample(labelled: DataFrame, url: str = "url", label: str = "label", limit: int = MAX_LABELLED) -> list[tuple[str, int]]:
