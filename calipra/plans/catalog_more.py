@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calipra.functions.parse import with_parsed
-from calipra.operators import candidates, lexicon, recover, rerank
+from calipra.functions.spacing import repaired_lines
+from calipra.functions.text import char_count, name_key
+from calipra.operators import candidates, configs, lexicon, pixels, recover, rerank, results
 from calipra.plans.catalog import parsed, query
-from calipra.plans.fixtures import SQL_LINES, lines
+from calipra.plans.fixtures import SQL_LINES, lines, read
+from calipra.sources import records
 
 
 def readings(spark, sf_dir) -> DataFrame:
@@ -79,3 +82,78 @@ def blob_recovery(spark, sf_dir):
     b = d.groupBy("file_name").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("t"), F.count(F.lit(1)).cast("int").alias("target_line_count"))
     b = b.select(F.col("file_name").alias("blob_id"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), "target_line_count")
     return recover.recover_lines(b)
+
+
+# vectors, batches, configurations
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+c AS (SELECT vec_id, label, v, list_transform(v, lambda x: x - list_avg(v)) AS c FROM v),
+u AS (SELECT vec_id, label, v, c, sqrt(list_inner_product(c, c)) AS n FROM c),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS source_id, round(greatest(-1, least(1, list_inner_product(a.c, b.c) / (a.n * b.n))), 6) AS score
+  FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, source_id))
+SELECT query_id, CASE WHEN reason = '' THEN source_id END AS source_id, score, reason = '' AS matched, reason FROM (
+  SELECT *, CASE WHEN score < 0.72 THEN 'score_below_threshold' WHEN score - second < 0.015 THEN 'ambiguous_top_match' ELSE '' END AS reason FROM r WHERE r = 1)""")
+def vector_source_match(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    m = pixels.vector_matches(e.filter("vec_id % 50 = 0"), e, "label", "vec_id", "embedding")
+    return pixels.best_sources(m.withColumn("score", F.round("score", 6)).withColumn("mae", F.lit(0.0)))
+
+
+@query(f"""WITH {SQL_LINES},
+i AS (SELECT file_name, max(CASE WHEN corruption = 4 THEN 1 ELSE 0 END) AS look, count(*) AS n FROM got GROUP BY file_name)
+SELECT file_name, CAST(CASE WHEN look = 1 THEN 2 ELSE 3 END AS INTEGER) AS status FROM i""")
+def batch_status(spark, sf_dir):
+    d = lines(spark, sf_dir)
+    one = F.struct(F.col("pred_text").alias("text"), F.lit(False).alias("manual_verify_required"), F.when(F.col("corruption") == 4, "char_count_mismatch").otherwise("none").alias("fallback_trigger_reason"), F.lit(True).alias("line_ocr_count_matches"), F.lit("accepted").alias("review_status"))
+    items = d.groupBy("file_name").agg(F.collect_list(one).alias("l"), F.collect_list(F.struct(F.col("label").alias("name"), "value")).alias("m"))
+    return items.select("file_name", results.batch_status(F.col("l"), F.col("m"), F.lit(None)).alias("status"))
+
+
+@query(f"WITH {SQL_LINES} SELECT split_part(file_name, '0', 1) AS patient, file_name AS exam, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY pos) AS combined_text FROM got GROUP BY ALL")
+def panel_text(spark, sf_dir):
+    d = lines(spark, sf_dir).groupBy(F.split_part("file_name", F.lit("0"), F.lit(1)).alias("patient"), F.col("file_name").alias("exam"))
+    d = d.agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("t"))
+    return d.select("patient", "exam", "n_lines", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("combined_text"))
+
+
+@query()
+def nested_predictions(spark, sf_dir):
+    d = lines(spark, sf_dir)
+    items = d.groupBy("file_name", (F.length("file_name") % 3).cast("string").alias("patient")).agg(F.sort_array(F.collect_list("pred_text")).alias("lines"))
+    return records.nested(items.select("patient", F.substring("file_name", 1, 3).alias("exam"), F.col("file_name").alias("dicom_path"), F.lit("ok").alias("status"), "lines"))
+
+
+@query(f"WITH {SQL_LINES} SELECT file_name, pos, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS key, length(replace(text, ' ', '')) AS n_chars FROM got")
+def name_keys(spark, sf_dir):
+    d = lines(spark, sf_dir)
+    return d.select("file_name", "pos", name_key(F.col("text")).alias("key"), char_count(F.col("text")).alias("n_chars"))
+
+
+@query(f"WITH {SQL_LINES} SELECT file_name, max(pos) AS n, bool_and(coalesce(CAST(prefix AS INTEGER) >= before, true)) AS consistent FROM (SELECT *, lag(CAST(prefix AS INTEGER)) OVER (PARTITION BY file_name, prefix IS NULL ORDER BY pos) AS before FROM got) GROUP BY file_name")
+def prefix_order(spark, sf_dir):
+    """WIN-3: whether a file's prefixes never fall."""
+    d = lines(spark, sf_dir).withColumn("k", F.col("prefix").cast("int"))
+    before = F.lag("k").over(Window.partitionBy("file_name", F.col("prefix").isNull()).orderBy("pos"))
+    return d.withColumn("b", before).groupBy("file_name").agg(F.max("pos").alias("n"), F.every(F.coalesce(F.col("k") >= F.col("b"), F.lit(True))).alias("consistent"))
+
+
+@query("SELECT 'om_' || i || '_' || r || '_s' || s || '_' || b || '_' || o || CASE WHEN b = 'otsu' THEN '_mc' ELSE '' END || '_' || m AS name FROM (SELECT unnest(['gray','bgr']) AS i), (SELECT unnest(['pln','ush']) AS r), (SELECT unnest([1,2,3]) AS s), (SELECT unnest(['nbin','otsu']) AS b), (SELECT unnest(['st','ts']) AS o), (SELECT unnest(['mv0','mv1']) AS m) WHERE (b = 'otsu' OR o = 'st') AND (b = 'nbin' OR s > 1)")
+def config_factorial(spark, sf_dir):
+    return configs.factorial(spark, [1, 2, 3], ["none", "otsu"], ["st", "ts"], ["plain", "unsharp"], ["gray", "bgr"], ["none", "pipeline"]).select("name")
+
+
+@query("SELECT conv_id, turn, false AS runs FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, turn, turn >= 2 FROM conversations WHERE turn > 0")
+def validator_gate(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    runs = results.should_validate(F.lit("selective"), F.col("turn"), F.lit(5), F.col("turn"), F.lit(0), F.lit(0), (2, 1, 1))
+    return c.select("conv_id", "turn", runs.alias("runs"))
+
+
+@query()
+def spacing_repairs(spark, sf_dir):
+    d = lines(spark, sf_dir).select("file_name", "pos", F.concat(F.lit("1 LVOTVmax 1:20 m / s AV max PG 3 mm Hg "), F.col("text")).alias("text"))
+    return d.select("file_name", "pos", F.explode(repaired_lines(F.col("text"))).alias("line"))
