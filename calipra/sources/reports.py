@@ -37,7 +37,7 @@ def walk(reports: DataFrame, key: str = "path", content: str = "content", depth:
         rows = level.filter("children is not null").select(key, "order_path", F.posexplode(F.from_json("children", schema)).alias("at", "i"))
         rows = rows.select(key, F.array_append("order_path", F.col("at")).alias("order_path"), "i.*")
         if k == depth:
-            rows = rows.withColumn("value_type", F.raise_error(F.lit(f"a report is deeper than {depth}")).cast("string"))
+            rows = rows.withColumn("value_type", F.raise_error(F.concat(F.lit(f"a report is deeper than {depth}: "), F.coalesce("value_type", F.lit("?")))).cast("string"))
         level = rows.select(key, "order_path", "children")
         found = rows.select(key, "order_path", "value_type", "concept", "numeric_value", "unit_code", "text")
         out = found if out is None else out.unionByName(found)
