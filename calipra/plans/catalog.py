@@ -218,7 +218,7 @@ _MATCHES = f"""{SQL_LINES},
 match AS (
   SELECT file_name, split, engine_name, pos, text AS expected_text, g_text AS predicted_text, lower(text) = lower(g_text) AS line_match, true AS prefix_match, true AS label_match,
     abs(CAST(value AS DOUBLE) - CAST(g_value AS DOUBLE)) <= 0.011 AS value_match, lower(coalesce(unit, '')) = lower(coalesce(g_unit, '')) AS unit_match FROM got)"""
-_RATES = ", ".join(f"sum({k}_match::INT) AS {k}_n, round(sum({k}_match::INT) / greatest(count(*), 1), 6) AS {k}_rate" for k in evaluate.PARTS)
+_RATES = ", ".join(f"sum({k}_match::INT)::BIGINT AS {k}_n, round(sum({k}_match::INT) / greatest(count(*), 1), 6) AS {k}_rate" for k in evaluate.PARTS)
 
 
 def _positional(spark, sf_dir):

@@ -127,7 +127,7 @@ def nested_predictions(spark, sf_dir):
     return records.nested(items.select("patient", F.substring("file_name", 1, 3).alias("exam"), F.col("file_name").alias("dicom_path"), F.lit("ok").alias("status"), "lines"))
 
 
-@query(f"WITH {SQL_LINES} SELECT file_name, pos, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS key, length(replace(text, ' ', '')) AS n_chars FROM got")
+@query(f"WITH {SQL_LINES} SELECT file_name, pos, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS key, CAST(length(replace(text, ' ', '')) AS INTEGER) AS n_chars FROM got")
 def name_keys(spark, sf_dir):
     d = lines(spark, sf_dir)
     return d.select("file_name", "pos", name_key(F.col("text")).alias("key"), char_count(F.col("text")).alias("n_chars"))
