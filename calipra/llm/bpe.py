@@ -13,8 +13,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from calipra.llm.common import bound_batches
+
 #: A worker forgets the words that it has encoded when it holds so many.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: How the byte-level pre-tokenizer splits a text (fixed by the vocabulary).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -130,6 +132,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     Rows stay where they are: no shuffle. Null text counts as empty: no ids, an empty decoded text. Rows may repeat;
     null doc_ids stay null; other columns of docs are not read. tokenizer is a path that every machine has.
     """
+    bound_batches(docs.sparkSession)
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch that goes to Python, where the session leaves Spark's own number: texts are long, and a worker holds a batch or two.
+BATCH_ROWS, _SPARKS_OWN = 256, "10000"
 #: Prefix of columns that operators add for a while; input columns must not start with it.
 OWN = "__calipra_"
 
@@ -28,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/calipra-{spark.sparkContext.applicationId}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers and the buffers before them hold at a time. A number that the session was given stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == _SPARKS_OWN:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all tables that materialize() wrote in this application; call it once results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

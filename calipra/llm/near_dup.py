@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calipra.llm.components import components
-from calipra.llm.common import materialize
+from calipra.llm.common import bound_batches, materialize
 
 SHINGLE = 5
 #: Linked: 100 * intersection >= 75 * union.
@@ -26,7 +26,7 @@ HUB_ROUNDS = 1
 #: Members that one task holds against a hub, about.
 GROUP = 256
 #: Words whose hashes a worker remembers, and shingles whose signatures are made at once.
-CACHE_WORDS, CHUNK = 400_000, 1 << 16
+CACHE_WORDS, CHUNK = 100_000, 1 << 14
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -219,6 +219,7 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     linked with nothing: component_id is null and kept is true. Rows with equal ids are taken as one document: they share a
     component and are kept, or not, together. An empty table gives an empty result; other columns aren't read.
     """
+    bound_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     sketches = materialize(d.mapInArrow(_sketch, "id long, n long, a long, b long, buckets array<long>, marks array<long>"), "sketches")
     named = sketches.filter("id is not null and n > 0")

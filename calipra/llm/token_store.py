@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from calipra.llm.bpe import WORDS, ByteBPE
-from calipra.llm.common import new_path
+from calipra.llm.common import bound_batches, new_path
 
 #: The id that ends a document.
 END_ID = 2
@@ -143,6 +143,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     text counts as empty and has the end id alone; null ids come first; rows that repeat are documents of their own.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     # row ids hold for this one job, which writes them
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(text).alias("text"))

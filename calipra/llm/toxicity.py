@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calipra.llm.boosting import BoostedTrees
+from calipra.llm.common import bound_batches
 
 THRESHOLD = 0.3
 #: The model is fitted on the driver, on so many labelled rows at most (those of the least hashes), of texts up to so many characters.
@@ -22,7 +23,7 @@ MIN_DOCS, MIN_RATIO = 4, 8.0
 #: Letters of a stem at least; letters of a word at least that may have an error, and errors.
 STEM, FUZZY, ERRORS = 4, 5, 1
 #: Words on each side of a term that are its context; words a worker remembers.
-CONTEXT, CACHE_WORDS = 6, 400_000
+CONTEXT, CACHE_WORDS = 6, 150_000
 
 # What opens or closes a quotation, and words that report what others said (English, French, German, Spanish).
 QUOTES = "\"“”„«»‹›"
@@ -277,6 +278,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     stay null; other columns are not read.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model.scores([t.as_py() or "" for t in batch.column(2)])
@@ -289,6 +292,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all columns, whose texts score below the threshold: rows pass through Python once and nothing is shuffled or joined."""
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model.scores([t.as_py() or "" for t in batch.column(batch.schema.get_field_index(text))])

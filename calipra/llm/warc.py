@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calipra.llm.common import materialize, new_path
+from calipra.llm.common import bound_batches, materialize, new_path
 
 #: Bytes of a record's block at most, records of an archive at most: an archive is read as a whole, and holds about their product at most.
 SEGMENT_BYTES, ARCHIVE_RECORDS = 32 << 10, 2000
@@ -91,6 +91,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
     found from digests, which are counted before they are shuffled; pages meet it by id. Null html is an empty payload. Rows with
     a null id, and rows that repeat with the smallest id, are responses.
     """
+    bound_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     p = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     keys = p.filter("id is not null").filter(F.octet_length("html") >= min_bytes).select("id", F.sha1("html").alias("sha1"))
