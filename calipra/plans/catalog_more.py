@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from calipra.functions.parse import with_parsed
 from calipra.functions.spacing import repaired_lines
 from calipra.functions.text import char_count, name_key
-from calipra.operators import candidates, configs, lexicon, pixels, recover, rerank, results
+from calipra.operators import candidates, configs, lexicon, pixels, recover, rerank, results, summaries
 from calipra.plans.catalog import parsed, query
 from calipra.plans.fixtures import SQL_LINES, lines, read
 from calipra.sources import records
@@ -157,3 +157,40 @@ def validator_gate(spark, sf_dir):
 def spacing_repairs(spark, sf_dir):
     d = lines(spark, sf_dir).select("file_name", "pos", F.concat(F.lit("1 LVOTVmax 1:20 m / s AV max PG 3 mm Hg "), F.col("text")).alias("text"))
     return d.select("file_name", "pos", F.explode(repaired_lines(F.col("text"))).alias("line"))
+
+
+# summaries
+
+
+@query("SELECT l_orderkey AS path, count(*) AS n_frames FROM lineitem GROUP BY l_orderkey HAVING count(CASE WHEN l_returnflag = 'R' THEN 1 END) = 0")
+def never_found(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.when(F.col("l_returnflag") == "R", 1).alias("roi"))
+    return summaries.never_found(d)
+
+
+@query("SELECT count(*) AS n_files, count(*) FILTER (event_type = 'error') AS n_failed, CAST(sum(value) AS DOUBLE) AS total_s, CAST(round(avg(value), 6) AS DOUBLE) AS mean_s FROM (SELECT event_type, CAST(value AS DECIMAL(18, 6)) AS value FROM events)")
+def load_summary(spark, sf_dir):
+    d = read(spark, sf_dir, "events").select((F.col("event_type") != "error").alias("ok"), F.col("value").cast("decimal(18,6)").alias("duration"))
+    return summaries.load_summary(d).withColumns({c: F.col(c).cast("double") for c in ("total_s", "mean_s")})
+
+
+@query("SELECT event_id AS path, value AS duration FROM events ORDER BY value DESC, event_id LIMIT 5")
+def slowest_loads(spark, sf_dir):
+    return summaries.slowest(read(spark, sf_dir, "events").select(F.col("event_id").alias("path"), F.col("value").alias("duration")))
+
+
+@query("SELECT count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem")
+def value_moments(spark, sf_dir):
+    return summaries.value_moments(read(spark, sf_dir, "lineitem"), "l_quantity")
+
+
+@query(f"WITH {SQL_LINES} SELECT file_name, array_to_string(list_sort(list_distinct(list(engine_name))), ',') AS sources FROM got GROUP BY file_name")
+def distinct_sources(spark, sf_dir):
+    d = lines(spark, sf_dir).select("file_name", F.col("engine_name").alias("source"))
+    return summaries.distinct_sources(d, "file_name").select("file_name", F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"WITH {SQL_LINES} SELECT file_name, pos, CAST(row_number() OVER (PARTITION BY file_name ORDER BY pos) - 1 AS INTEGER) AS text_order FROM got WHERE corruption <> 2")
+def remapped_orders(spark, sf_dir):
+    d = lines(spark, sf_dir).withColumn("text", F.when(F.col("corruption") == 2, " ").otherwise(F.col("text")))
+    return summaries.remap_orders(d, "file_name", order="pos").select("file_name", "pos", "text_order")
