@@ -128,9 +128,10 @@ class Automaton:
 class Lexicon:
     """Words and stems that toxic documents have far more often than others, with log ratios of their rates as weights."""
 
-    def __init__(self, rows: list[tuple[list[str], int]]):
+    def __init__(self, rows: list[tuple[str, int]]):
         words, docs = (Counter(), Counter()), Counter()
-        for own, y in rows:
+        for text, y in rows:
+            own = _WORD.findall(text.lower())  # not kept: word lists take many times the memory of texts
             words[y].update(own)
             if y:
                 docs.update({t for w in set(own) for t in self._terms(w)})
@@ -241,14 +242,13 @@ class ToxicityModel:
     """A lexicon and boosted trees on what it finds. For fitting the trees, each half's features come from the other half's lexicon."""
 
     def __init__(self, rows: list[tuple[str, int]]):
-        split = [(_WORD.findall(t.lower()), y) for t, y in rows]
         x, y = [], []
         for half in (0, 1):
-            lexicon = Lexicon(split[1 - half :: 2])
+            lexicon = Lexicon(rows[1 - half :: 2])
             x += [features(lexicon, t) for t, _ in rows[half::2]]
             y += [v for _, v in rows[half::2]]
         self.trees = BoostedTrees(trees=60, depth=3, rate=0.15).fit(np.array(x, float).reshape(len(x), N_FEATURES), np.array(y, float))
-        self.lexicon = Lexicon(split)
+        self.lexicon = Lexicon(rows)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return self.trees.predict(np.array([features(self.lexicon, t) for t in texts], float).reshape(len(texts), N_FEATURES))
