@@ -18,9 +18,6 @@ SHINGLE = 5
 PERCENT = 75
 #: Components of a signature, and of a band. A pair of just 0.75 shares no band once in 190,000 pairs: (1 - 0.75**4)**32.
 SIGNATURE, BAND = 128, 4
-#: Signatures that agree in fewer places than this (of 128; 96 are expected at 0.75, and 3.6 is the standard deviation) are not compared in
-#: the last round: a link fails to be seen once in some 200,000, about as with the bands.
-AGREE = 80
 #: Times that buckets elect a hub for their members to be held against, before what is still apart is compared.
 HUB_ROUNDS = 1
 #: Members that one task holds against a hub, about.
@@ -133,13 +130,11 @@ def _agreeing(a: str, b: str) -> Column:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets, n, keys, buckets, places, size = [], [], [], [], [], 0
+        sets, n, keys, buckets, size = [], [], [], [], 0
 
-        def flush(sets=sets, buckets=buckets, places=places):
+        def flush(sets=sets, buckets=buckets):
             if sets:
-                sig = super_minhash(sets)
-                buckets.extend(bands(sig))
-                places.extend(marks(sig).tolist())
+                buckets.extend(bands(super_minhash(sets)))
                 sets.clear()
 
         for t in batch.column(1):
@@ -157,7 +152,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate([b if k else b[:0] for b, k in zip(buckets, n, strict=True)]) if n else np.zeros(0, np.int64)
         ends = np.cumsum([0] + [len(b) if k else 0 for b, k in zip(buckets, n, strict=True)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), lists, pa.array(places, pa.list_(pa.int64()))], names=["id", "n", "a", "b", "buckets", "marks"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), lists], names=["id", "n", "a", "b", "buckets"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +207,7 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     round, each bucket with members of different components elects the one with most company (then: the smallest id), and each
     member outside that one's component is held against the best hub it has: one pair a document, and a group of copies
     becomes one component without all its pairs. Then those are compared that share a bucket, are still in different components, and can
-    be linked: by their sizes, by how many of their shingles any other of these documents has, and by how far their signatures agree.
+    be linked: by their sizes, and by how many of their shingles any other of these documents has.
     Links are confirmed on full sets.
 
     Null or empty texts, and those of blanks alone, have no shingles and are linked with nothing. Rows with a null id are
@@ -221,9 +216,9 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """
     bound_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    sketches = materialize(d.mapInArrow(_sketch, "id long, n long, a long, b long, buckets array<long>, marks array<long>"), "sketches")
+    sketches = materialize(d.mapInArrow(_sketch, "id long, n long, a long, b long, buckets array<long>"), "sketches")
     named = sketches.filter("id is not null and n > 0")
-    reps = materialize(named.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("marks").alias("marks")), "sets")
+    reps = materialize(named.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "sets")
     # one row for each bucket of two members or more, and member
     in_bucket = reps.select("rep", "n", F.explode("buckets").alias("bucket"))
     sizes = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -249,12 +244,12 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
             # a shingle that no other document here has is in no intersection
             own = open_.select("rep").distinct()
             alone = _alone(texts.join(own, texts["id"] == own["rep"], "left_semi"))
-            facts = own.join(reps, "rep").join(alone, F.col("rep") == alone["id"], "left").select("rep", "marks", "buckets", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+            facts = own.join(reps, "rep").join(alone, F.col("rep") == alone["id"], "left").select("rep", "buckets", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
             rows = open_.select("bucket", "rep", "n", "c").join(facts, "rep")
-            left = rows.select("bucket", F.col("rep").alias("doc"), F.col("n").alias("n1"), F.col("c").alias("c1"), F.col("most").alias("m1"), F.col("marks").alias("k1"), F.col("buckets").alias("b1"))
-            right = rows.select("bucket", F.col("rep").alias("hub"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("most").alias("m2"), F.col("marks").alias("k2"), F.col("buckets").alias("b2"))
+            left = rows.select("bucket", F.col("rep").alias("doc"), F.col("n").alias("n1"), F.col("c").alias("c1"), F.col("most").alias("m1"), F.col("buckets").alias("b1"))
+            right = rows.select("bucket", F.col("rep").alias("hub"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("most").alias("m2"), F.col("buckets").alias("b2"))
             most = F.least("m1", "m2")
-            fits = (F.col("doc") < F.col("hub")) & (F.col("c1") != F.col("c2")) & (100 * most >= PERCENT * (F.col("n1") + F.col("n2") - most)) & (_agreeing("k1", "k2") >= AGREE)
+            fits = (F.col("doc") < F.col("hub")) & (F.col("c1") != F.col("c2")) & (100 * most >= PERCENT * (F.col("n1") + F.col("n2") - most))
             # a pair that shares several buckets comes from the least of them
             fits = fits & (F.array_min(F.array_intersect("b1", "b2")) == F.col("bucket"))
             pairs = left.join(right, "bucket").filter(fits).select("doc", "hub")

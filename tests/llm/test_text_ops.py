@@ -183,6 +183,17 @@ def test_near_dups_are_the_plain_version(spark):
     assert sorted(map(tuple, got.collect())) == _plain_groups(docs)
 
 
+def test_last_round_compares_links_of_unlike_signatures(spark, monkeypatch):
+    """A link at exactly 0.75 whose signatures agree in 78 of 128 places."""
+    monkeypatch.setattr(near_dup, "HUB_ROUNDS", 0)
+    a = [f"a22730x{i}" for i in range(704)]
+    docs = [(1, " ".join(a)), (2, " ".join(a[:604] + [f"b22730x{i}" for i in range(100)]))]
+    marks = super_minhash([shingles(t) for _, t in docs]).astype(np.uint8)
+    assert (marks[0] == marks[1]).sum() == 78
+    got = near_dup_groups(spark.createDataFrame(docs, "doc_id int, text string"))
+    assert sorted(map(tuple, got.collect())) == _plain_groups(docs) == [(1, 700, 1, True), (2, 700, 1, False)]
+
+
 def test_near_dups_odd_rows(odd, none):
     got = near_dup_groups(odd)
     assert got.count() == odd.count()
