@@ -218,6 +218,35 @@ def _block_roots(recipes: DataFrame) -> DataFrame:
     return recipes.groupBy("block").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.unhex(F.sha2(joined, 256)).alias("root"))
 
 
+def _block_starts(spark: SparkSession, path: str, recipes: DataFrame) -> DataFrame:
+    """(block, block_start), after all blocks, the totals and the store's root were held against the manifest; as many rows as blocks, on the driver."""
+    told = sorted(tuple(r) for r in spark.read.parquet(f"{path}/manifest").select("block", "n_docs", "n_tokens", "start", "root").collect())
+    lines, start = [], 0
+    for block, n_docs, n_tokens, root in sorted(_block_roots(recipes).collect()):
+        lines.append((block, n_docs, n_tokens, start, root))
+        start += n_tokens
+    top = hashlib.sha256(b"".join(bytes(x[4]) for x in lines)).digest()
+    if told != [(-1, sum(x[1] for x in lines), start, 0, bytearray(top)), *lines]:
+        raise ValueError("blocks, totals or roots do not match the manifest")
+    return spark.createDataFrame([(x[0], x[3]) for x in lines], "block int, block_start long")
+
+
+def _hold(doc_id, n_tokens: int, root: bytes, parts: list[dict]) -> None:
+    """A document's parts (seq, digest, n_ids) against its recipe."""
+    whole = all(p["digest"] is not None for p in parts) and [p["seq"] for p in parts] == list(range(len(parts)))
+    if not whole or hashlib.sha256(b"".join(p["digest"] for p in parts)).digest() != root or sum(p["n_ids"] for p in parts) != n_tokens:
+        raise ValueError(f"document {doc_id} does not match its recipe")
+
+
+def _checked(digest: bytes, n: int, payload: bytes | None) -> np.ndarray:
+    """The ids of a chunk, held against its digest and their number."""
+    if payload is None:
+        raise ValueError(f"chunk {digest.hex()} is missing")
+    if hashlib.sha256(payload).digest() != digest or len(ids := unpack(payload)) != n:
+        raise ValueError(f"chunk {digest.hex()} is damaged")
+    return ids
+
+
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("digest binary, n_ids int, payload binary, kind string").parquet(f"{path}/pieces").filter("kind = 'chunk'").drop("kind")
 
@@ -226,58 +255,59 @@ def read_checksums(spark: SparkSession, path: str, id_type: str = "bigint") -> D
     """Per document: doc_id, start (ids of all documents before it), n_tokens and ids_crc32, from the files alone.
 
     Every chunk is read and held against its digest; a document's checksum joins its chunks' checksums, so that payloads are read
-    where they lie and not shuffled. Recipes are held against their roots, blocks against the manifest. Any difference is an error.
+    where they lie and not shuffled. Recipes are held against their roots; blocks, totals and the store's root against the manifest, when this is
+    called. A chunk or a block that is missing, or differs from its digest or root, is an error.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
-            for digest, n, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = unpack(payload)
-                if hashlib.sha256(payload).digest() != digest or len(ids) != n:
-                    raise ValueError(f"chunk {digest.hex()} is damaged")
-                crcs.append(zlib.crc32(ids.tobytes()))
+            crcs = [zlib.crc32(_checked(*x).tobytes()) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64())], names=["digest", "crc"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crcs = []
-            for i, (root, parts) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                if hashlib.sha256(b"".join(p["digest"] for p in parts)).digest() != root or [p["seq"] for p in parts] != list(range(len(parts))):
-                    raise ValueError(f"document {batch.column(0)[i]} does not match its recipe")
+            for doc_id, n, root, parts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                _hold(doc_id, n, root, parts)
+                if gone := [p["digest"].hex() for p in parts if p["crc"] is None]:
+                    raise ValueError(f"chunk {gone[0]} is missing")
                 crcs.append(crc_join([(p["crc"], 4 * p["n_ids"]) for p in parts]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], names=["doc_id", "row_id", "n_tokens", "ids_crc32"])
 
     recipes = _recipes(spark, path, id_type)
-    manifest = spark.read.parquet(f"{path}/manifest").filter("block >= 0")  # as many rows as blocks
-    told = manifest.select("block", F.col("start").alias("block_start"), F.col("root").alias("block_root"))
-    same = F.assert_true((F.col("root") == F.col("block_root")), F.lit("a block does not match the manifest"))
-    blocks = _block_roots(recipes).join(F.broadcast(told), "block", "left").select("block", "block_start", same.alias("ok")).filter("ok is null")
+    blocks = _block_starts(spark, path, recipes)
     before = F.sum("n_tokens").over(Window.partitionBy("block").orderBy("doc_id", "row_id").rowsBetween(Window.unboundedPreceding, -1))
     starts = recipes.select("block", "doc_id", "row_id", F.coalesce(before, F.lit(0)).alias("before"))
     starts = starts.join(F.broadcast(blocks), "block").select("row_id", (F.col("block_start") + F.col("before")).alias("start"))
 
     crcs = _chunks(spark, path).mapInArrow(check, "digest binary, crc long")
-    parts = recipes.select("doc_id", "row_id", "n_tokens", "root", F.explode("chunks").alias("c")).select("doc_id", "row_id", "n_tokens", "root", "c.*").join(crcs, "digest")
+    parts = recipes.select("doc_id", "row_id", "n_tokens", "root", F.explode_outer("chunks").alias("c")).select("doc_id", "row_id", "n_tokens", "root", "c.*").join(crcs, "digest", "left")
     whole = parts.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("seq", "digest", "n_ids", "crc"))).alias("parts"))
     sums = whole.select("doc_id", "row_id", "n_tokens", "root", "parts").mapInArrow(join, f"doc_id {id_type}, row_id long, n_tokens long, ids_crc32 long")
     return sums.join(starts, "row_id").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def read_ids(spark: SparkSession, path: str, wanted: DataFrame | None = None, id_type: str = "bigint") -> DataFrame:
-    """(doc_id, ids): documents' ids (array<long>) rebuilt from chunks; of those in wanted (doc_id), if given. Payloads are shuffled to their documents."""
+    """(doc_id, ids): documents' ids (array<long>) rebuilt from chunks; of those in wanted (doc_id), if given. Payloads are shuffled to their documents.
+
+    Chunks, recipes, blocks and the manifest are held against each other as in read_checksums().
+    """
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.concatenate([unpack(p["payload"]) for p in parts]).astype(np.int64) for parts in batch.column(1).to_pylist()]
+            ids = []
+            for doc_id, n, root, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _hold(doc_id, n, root, parts)
+                ids.append(np.concatenate([_checked(p["digest"], p["n_ids"], p["payload"]) for p in parts]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     recipes = _recipes(spark, path, id_type)
+    _block_starts(spark, path, recipes)
     if wanted is not None:
         recipes = recipes.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    parts = recipes.select("doc_id", "row_id", F.explode("chunks").alias("c")).select("doc_id", "row_id", "c.seq", "c.digest").join(_chunks(spark, path), "digest")
-    whole = parts.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
-    return whole.select("doc_id", "parts").mapInArrow(rebuild, f"doc_id {id_type}, ids array<long>")
+    parts = recipes.select("doc_id", "row_id", "n_tokens", "root", F.explode_outer("chunks").alias("c")).select("doc_id", "row_id", "n_tokens", "root", "c.*").join(_chunks(spark, path).drop("n_ids"), "digest", "left")
+    whole = parts.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("seq", "digest", "n_ids", "payload"))).alias("parts"))
+    return whole.select("doc_id", "n_tokens", "root", "parts").mapInArrow(rebuild, f"doc_id {id_type}, ids array<long>")
 
 
 def store_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

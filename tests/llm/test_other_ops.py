@@ -184,6 +184,37 @@ def test_damage_is_found(spark, tmp_path):
         read_checksums(spark, path).collect()
 
 
+def test_missing_and_damaged_pieces_are_errors(spark, tmp_path):
+    path, chunk = f"file://{tmp_path}/s", "digest binary, n_ids int, payload binary"
+    write_store(spark.createDataFrame([(i, f"text number {i} " * 5) for i in range(20)], "doc_id long, text string"), path, PATH)
+    read = lambda name, *cols: spark.read.parquet(f"{path}/{name}").select(*(cols or "*"))
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    chunks = read("pieces/kind=chunk", "digest", "n_ids", "payload").collect()
+    put(chunks[1:], chunk, "pieces/kind=chunk")  # the only chunk of a document
+    for f in (read_checksums, read_ids):
+        with pytest.raises(Exception, match="is missing"):
+            f(spark, path).collect()
+    put([(chunks[0].digest, chunks[0].n_ids, chunks[0].payload[:-1] + b"\xff"), *chunks[1:]], chunk, "pieces/kind=chunk")
+    with pytest.raises(Exception, match="is damaged"):
+        read_ids(spark, path).collect()
+    put(chunks, chunk, "pieces/kind=chunk")
+    assert read_checksums(spark, path).count() == read_ids(spark, path).count() == 20
+
+    manifest = read("manifest")
+    rows, schema = manifest.collect(), manifest.schema
+    for change in ({"root": bytearray(32)}, {"n_docs": 21}, {"n_tokens": 1}):
+        put([tuple((r.asDict() | (change if r.block == -1 else {})).values()) for r in rows], schema, "manifest")
+        with pytest.raises(Exception, match="manifest"):
+            read_checksums(spark, path).collect()
+    put(rows, schema, "manifest")
+    recipes = read("recipes")
+    put([r for r in recipes.collect() if r.block != rows[0].block], recipes.schema, "recipes")
+    for f in (read_checksums, read_ids):
+        with pytest.raises(Exception, match="manifest"):
+            f(spark, path).collect()
+
+
 # WARC
 
 
