@@ -183,15 +183,59 @@ def test_near_dups_are_the_plain_version(spark):
     assert sorted(map(tuple, got.collect())) == _plain_groups(docs)
 
 
-def test_last_round_compares_links_of_unlike_signatures(spark, monkeypatch):
-    """A link at exactly 0.75 whose signatures agree in 78 of 128 places."""
-    monkeypatch.setattr(near_dup, "HUB_ROUNDS", 0)
-    a = [f"a22730x{i}" for i in range(704)]
-    docs = [(1, " ".join(a)), (2, " ".join(a[:604] + [f"b22730x{i}" for i in range(100)]))]
-    marks = super_minhash([shingles(t) for _, t in docs]).astype(np.uint8)
-    assert (marks[0] == marks[1]).sum() == 78
+def _long_docs(r, words=2000, copies=14):
+    """Texts of some thousand words, each with some runs of words changed, so that pairs are at 0.68 to 0.85."""
+    vocabulary = [f"v{i}" for i in range(5000)]
+    out, base = [], [r.choice(vocabulary) for _ in range(words)]
+    for k in range(copies):
+        w = list(base)
+        for _ in range(r.randint(20, 45)):
+            w[r.randrange(words)] = r.choice(vocabulary)
+        out.append((1000 + k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize(("block", "few"), [(1 << 20, 16), (2048, 0)])
+def test_near_dups_of_long_texts(spark, monkeypatch, block, few):
+    """Blocks of a bucket that meet in tasks of their own, and groups that grow by nearest pairs, find the same links."""
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(near_dup, "FEW", few)
+    r = random.Random(4)
+    docs = _long_docs(r) + [(2000 + k, t) for k, (_, t) in enumerate(_long_docs(r, 160, 60))]
+    a = [f"a22730x{i}" for i in range(704)]  # at exactly 0.75, with signatures that agree in 78 of 128 places
+    docs += [(1, " ".join(a)), (2, " ".join(a[:604] + [f"b22730x{i}" for i in range(100)]))]
     got = near_dup_groups(spark.createDataFrame(docs, "doc_id int, text string"))
-    assert sorted(map(tuple, got.collect())) == _plain_groups(docs) == [(1, 700, 1, True), (2, 700, 1, False)]
+    want = _plain_groups(docs)
+    assert sorted(map(tuple, got.collect())) == want
+    assert len({c for *_, c, _ in want}) > 5
+
+
+def test_bitmaps_lose_no_link_and_spare_a_hot_bucket():
+    """Bits that differ are no more than shingles that only one set has; members of one template that aren't linked make no pairs."""
+    r = random.Random(9)
+    sets = [shingles(" ".join(f"w{r.randint(0, 60)}" for _ in range(r.randint(1, 900)))) for _ in range(40)]
+    for a in sets:
+        for b in sets[:10]:
+            x, y = np.frombuffer(near_dup.bitmap(a), np.uint64), np.frombuffer(near_dup.bitmap(b), np.uint64)
+            while len(x) != len(y):
+                x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+    template = [f"t{i}" for i in range(180)]
+    pages = [shingles(" ".join(template + [f"p{k}x{i}" for i in range(120)])) for k in range(150)]
+    n = len(pages)
+    ids = np.arange(n)
+    assert not list(near_dup._near(ids, np.array([len(s) for s in pages]), ids, np.zeros(n), [near_dup.bitmap(s) for s in pages]))
+
+
+def test_near_dups_of_repeated_and_other_ids(spark):
+    """Each text of an id is compared; ids may be strings."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (7, a + " x"), (8, b + " y"), (9, "z")]
+    got = near_dup_groups(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert sorted(map(tuple, got.select("doc_id", "component_id", "kept").collect())) == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)]
+    named = spark.createDataFrame([(f"id{i}", t) for i, t in rows], "doc_id string, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_dup_groups(named).collect()) == [("id5", "id5"), ("id5", "id5"), ("id7", "id5"), ("id8", "id5"), ("id9", "id9")]
+    assert sorted(r.doc_id for r in drop_near_dups(named).collect()) == ["id5", "id5", "id9"]
 
 
 def test_near_dups_odd_rows(odd, none):
@@ -252,9 +296,3 @@ def test_components(spark, monkeypatch, links):
         up[max(x, y)] = min(x, y)
     assert got == {x: root(x) for x in list(up) if root(x) != x}
 
-
-def test_marks_agree_as_signatures_do(spark):
-    sig = super_minhash([shingles(" ".join(f"a{i}" for i in range(100))), shingles(" ".join(f"a{i}" for i in range(20, 120)))])
-    k = near_dup.marks(sig)
-    df = spark.createDataFrame([(k[0].tolist(), k[1].tolist())], "a array<long>, b array<long>")
-    assert df.select(near_dup._agreeing("a", "b")).first()[0] == (sig[0].astype(np.uint8) == sig[1].astype(np.uint8)).sum()
