@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calipra.llm.common import OWN, materialize
+from calipra.llm.common import OWN, ascii_lower, materialize
 
 #: A line on more than this share of its host's pages is boilerplate ...
-MAX_RATIO = 0.05
-#: ... if it is on so many pages at least.
+MAX_RATIO = 0.01
+#: ... if it is on so many pages at least: of a host with few pages, any line has a large share.
 MIN_PAGES = 4
 #: So many boilerplate lines (16 bytes each) are sent to all executors; beyond it, lines and rows are joined by shuffles.
 BROADCAST_LINES = 50_000
@@ -43,6 +43,11 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_
     return counts.join(totals, same).select(counts["host"], "line_id", "n_pages", "n_host").filter(F.col("n_pages") > max_ratio * F.col("n_host"))
 
 
+def host_of(url: Column) -> Column:
+    """The host of a URL, A-Z lower-cased: the site of a page. Empty without ://, null for null."""
+    return ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
+
+
 def line_dedup(
     pages: DataFrame,
     host: str = "source",
@@ -54,7 +59,7 @@ def line_dedup(
     """All rows and columns of pages, with text less its host's boilerplate lines, and n_lines and n_dropped (both int).
 
     Lines end at a line feed and are compared without blanks around them; empty lines are kept and never counted.
-    A page all of whose lines are boilerplate is a copy of other pages, not a frame around something: it stays as it is.
+    A page all of whose lines are boilerplate, such as a copy of many others of its host, keeps its row and its empty lines.
     Rows with a null host count as pages of one more host. Null text stays null, with no lines; empty text stays empty.
     Columns of pages named n_lines or n_dropped are replaced.
     """
@@ -76,10 +81,6 @@ def line_dedup(
     left = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(none, _line_id(h, x)))
     out = joined.withColumn(f"{OWN}n", F.coalesce(F.size(full), F.lit(0))).withColumn(f"{OWN}left", left)
     n_left = F.coalesce(F.size(F.filter(F.col(f"{OWN}left"), lambda x: F.trim(x) != "")), F.lit(0))
-    cut = (n_left > 0) & (n_left < F.col(f"{OWN}n"))
-    new = {
-        text: F.when(cut, F.array_join(f"{OWN}left", "\n")).otherwise(t),
-        "n_lines": F.col(f"{OWN}n"),
-        "n_dropped": F.when(cut, F.col(f"{OWN}n") - n_left).otherwise(F.lit(0)).cast("int"),
-    }
+    dropped = F.col(f"{OWN}n") - n_left
+    new = {text: F.when(dropped > 0, F.array_join(f"{OWN}left", "\n")).otherwise(t), "n_lines": F.col(f"{OWN}n"), "n_dropped": dropped.cast("int")}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in [*kept_cols, "n_lines", "n_dropped"]])

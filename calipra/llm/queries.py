@@ -97,9 +97,9 @@ per_doc AS (
     string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad) AS left_text
   FROM told GROUP BY doc_id)
 SELECT d.doc_id, d.source,
-  CASE WHEN n_bad > 0 AND n_bad < n_lines THEN left_text ELSE d.text END AS text,
+  CASE WHEN n_bad > 0 THEN coalesce(left_text, '') ELSE d.text END AS text,
   CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines,
-  CAST(CASE WHEN n_bad < n_lines THEN n_bad ELSE 0 END AS INTEGER) AS n_dropped
+  CAST(coalesce(n_bad, 0) AS INTEGER) AS n_dropped
 FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id""",
     "op4_decontamination": r"""
 WITH d AS (

@@ -25,7 +25,7 @@ def _tables(spark, path):
         if i % 5 == 0:
             t, kind[i] = t + " idiot moron scumbag " + t[:40] + " idiot", "toxic"
         elif i % 41 == 1:
-            t, kind[i] = t + "\n" + item, "leak"
+            t, kind[i] = t + " " + item, "leak"
         elif i % 23 == 2 and kind.get(i - 1) == "clean":
             t, kind[i] = rows[-1][1].removesuffix("\nsite menu of all pages") + " more", "copy"
         rows.append((i, t + ("\nsite menu of all pages" if i % 2 else ""), "en", "src", len(t)))

@@ -13,12 +13,13 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from calipra.llm.bpe import bpe_round_trip, load
 from calipra.llm.components import components
 from calipra.llm.decontam import decontaminate, drop_contaminated
-from calipra.llm.line_dedup import line_dedup
+from calipra.llm.line_dedup import host_of, line_dedup
 from calipra.llm import near_dup
 from calipra.llm.near_dup import drop_near_dups, near_dup_groups, shingles, super_minhash
 
@@ -68,8 +69,7 @@ def _plain_line_dedup(rows, ratio, least):
         full = [x for x in lines if x.strip(" ")]
         bad = lambda x, h=h: x.strip(" ") and n[h, x.strip(" ")] >= least and n[h, x.strip(" ")] > ratio * n_host[h]
         k = sum(1 for x in full if bad(x))
-        cut = 0 < k < len(full)
-        out.append((i, "\n".join(x for x in lines if not bad(x)) if cut else t, len(full), k if cut else 0))
+        out.append((i, "\n".join(x for x in lines if not bad(x)) if k else t, len(full), k))
     return out
 
 
@@ -89,11 +89,20 @@ def test_line_dedup_odd_rows(odd, none, limit):
     got = line_dedup(odd, max_ratio=0.1, min_pages=2, broadcast_lines=limit)
     assert set(got.columns) == set(odd.columns) | {"n_dropped"}
     assert got.count() == odd.count()
-    whole = [x for x in got.collect() if x.doc_id in (1, 7)]
-    assert all(x.text.startswith("The quick") and x.n_dropped == 0 for x in whole)  # copies stay as they are
+    copies = [x for x in got.collect() if x.doc_id in (1, 7)]
+    assert len(copies) == 3 and all((x.text, x.n_dropped) == ("", 2) for x in copies)  # nothing but boilerplate
     assert line_dedup(none).count() == 0
 
 
+def test_line_dedup_by_host(spark):
+    """The site of a page is the host of its url."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = [(r.page_id, re.match("(?s)(?:.*?://([^/?#]*))?", r.url or "")[1], r.html) for r in pages.collect()]
+    rows = [(i, (h or "").lower() if u is not None else None, t) for (i, h, t), u in zip(rows, [r.url for r in pages.collect()], strict=True)]
+    got = line_dedup(pages.withColumn("host", host_of(F.col("url"))), "host", "html", 0.2, 2)
+    assert sorted((x.page_id, x.html, x.n_lines, x.n_dropped) for x in got.collect()) == sorted(_plain_line_dedup(rows, 0.2, 2))
+
+
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _LOW = {c: c + 32 for c in range(65, 91)}
 
