@@ -12,8 +12,8 @@ from calipra.llm.common import OWN, materialize
 
 #: Rows of a block at most on average, and blocks at most: the matrix has blocks x shards counts, on the driver.
 BLOCK_ROWS, MAX_BLOCKS = 500_000, 4096
-#: Beyond so many rows numpy can't draw exactly; the counts' law is then normal, their sums still exact.
-EXACT_ROWS = 900_000_000
+#: Equal rows are dealt in pieces of so many at most.
+PIECE = 1024
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
@@ -22,14 +22,23 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of n rows, drawn from good + bad ones, are good."""
+    """How many of n rows, drawn from good + bad ones, are good: hypergeometric, by inversion, for numbers of any size.
+
+    Chances fall from the likeliest number on by the ratios of neighbours, so that no factorials are rounded. What is
+    farther from it than 12 deviations and 40 has a chance below 1e-15 and is left out.
+    """
+    low, high = max(0, n - bad), min(good, n)
+    if low == high:
+        return low
     total = good + bad
-    if total == 0 or n == 0:
-        return 0
-    if total <= EXACT_ROWS:
-        return int(rng.hypergeometric(good, bad, n))
-    sd = math.sqrt(n * (good / total) * (bad / total) * (total - n) / max(total - 1, 1))
-    return min(max(round(rng.normal(n * good / total, sd)), n - bad, 0), good, n)
+    top = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    reach = 40 + math.ceil(12 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(total - 1, 1))))
+    k = np.arange(max(low, top - reach), min(high, top + reach), dtype=float)
+    ratio = (good - k) * (n - k) / ((k + 1) * (bad - n + k + 1))  # of k + 1 to k
+    at = top - max(low, top - reach)
+    weights = np.concatenate([np.cumprod(1 / ratio[:at][::-1])[::-1], [1.0], np.cumprod(ratio[at:])])
+    ends = np.cumsum(weights)
+    return int(max(low, top - reach) + min(np.searchsorted(ends, rng.random() * ends[-1], side="right"), len(ends) - 1))
 
 
 def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> list[list[int]]:
@@ -52,7 +61,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "d
 
     Texts aren't moved: ids, sizes and checksums (24 bytes a row) are. A row's block is a hash of them rather than a
     partition of the scan, so that a lost executor's tasks run again to the same result. Equal rows count as one with
-    a number until they have ranks, so that many of them make no block larger than the others to sort. An empty table has
+    a number until they have ranks, so that many of them make no block larger than the others to sort, and are then dealt in pieces. An empty table has
     empty shards. Null texts have size 1; null ids are values like others. The order in a shard is that of a second hash.
     """
     name = docs.schema[id_col].name
@@ -70,7 +79,11 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "d
     # first permutation: rank in the block by a hash; rank decides the shard by the matrix
     order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "id", "size", "crc"), "id", "size", "crc")
     ranked = d.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    each = ranked.join(F.broadcast(table), "block").select("id", "size", "crc", "before", "ends", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    pieces = ranked.join(F.broadcast(table), "block").withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PIECE))))
+    if d.filter(F.col("n") > PIECE).limit(1).count():  # the pieces of one row's copies go to many tasks
+        pieces = pieces.repartition("id", "size", "crc", "piece")
+    last = F.least("n", (F.col("piece") + 1) * PIECE) - 1
+    each = pieces.select("id", "size", "crc", "before", "ends", F.explode(F.sequence(F.col("piece") * PIECE, last)).alias("copy"))
     shard = F.size(F.filter("ends", lambda e: e <= F.col("before") + F.col("copy")))
     # second permutation: by another hash, in cells of a shard whose first slots come from counts
     key = F.xxhash64(F.lit(seed + 2), "id", "size", "crc", "copy")
