@@ -21,14 +21,14 @@ CACHE_WORDS = 300_000
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_chars() -> dict[str, int]:
+def byte_chars() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, others from U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     hidden = [b for b in range(256) if b not in shown]
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class _Packed(dict):
+class Packed(dict):
     """Of each word, its ids as little-endian 32-bit numbers."""
 
     def __init__(self, encode):
@@ -42,15 +42,26 @@ class _Packed(dict):
         return out
 
 
+def is_plain(spec: dict) -> bool:
+    """Whether a tokenizer file asks for byte-level BPE of the words of WORDS and for nothing else."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+    return plain and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+
+
 class ByteBPE:
-    """Reads a tokenizer file of byte-level BPE. Its added tokens are found in texts first, longest first, as the file asks."""
+    """Reads a tokenizer file of plain byte-level BPE; others are refused. Its added tokens are found in texts first, longest first, as the file asks."""
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
-        model, chars = spec["model"], _byte_chars()
+        model, chars = spec["model"], byte_chars()
         as_bytes = lambda s: bytes(chars[c] for c in s)
         ids: dict[str, int] = model["vocab"]
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if not is_plain(spec) or any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path} is no file of plain byte-level BPE")
+        if max([*ids.values(), *added.values()]) >= 1 << 17:
+            raise ValueError(f"{path} has ids of more than 17 bits")
         self.special = {s: array("I", [i]).tobytes() for s, i in added.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else lambda t: [t]
         self.strings: list[bytes] = [b""] * (max([*ids.values(), *added.values()]) + 1)
@@ -67,7 +78,7 @@ class ByteBPE:
             x, y = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs[ids[x] << 17 | ids[y]] = rank << 17 | ids[x + y]
         self.find = regex.compile(WORDS).findall
-        self.packed = _Packed(self.word)
+        self.packed = Packed(self.word)
 
     def word(self, word: bytes) -> bytes:
         """The packed ids of one word: the pair of the least rank is merged, leftmost first, till no pair has a rank.

@@ -5,17 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from calipra.llm.bpe import WORDS, ByteBPE
+from calipra.llm.bpe import WORDS, Packed, byte_chars, is_plain
 from calipra.llm.common import bound_batches, new_path
 
 #: The id that ends a document.
@@ -24,36 +25,35 @@ END_ID = 2
 LEAST, ABOUT, MOST, REACH = 64, 512, 4096, 8
 #: Chunks that a task remembers having sent.
 SEEN = 1_000_000
+#: Documents under one leaf of a block's tree, at most.
+LEAF = 4096
 
 
 class Encoder:
-    """The ids of the tokenizers library for a byte-level BPE file.
+    """The ids of the tokenizers library.
 
-    Where a pair's rank and its merged id are in the same order, as in such files, tiktoken's merging gives the same ids from
-    the same file five times as fast; a file of other kind, or a text that it can't take, goes to the tokenizers library.
+    Of a plain byte-level file, the library's model encodes each different word once and the worker remembers its ids; a text that
+    holds an added token, and any text under another file, goes through the library whole.
     """
 
     def __init__(self, path: str):
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         spec = json.load(open(path, encoding="utf-8"))
-        bpe = ByteBPE(path)
-        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        ranks = {s: i for i, s in enumerate(bpe.strings) if s and i not in added.values()}
-        merged = [bpe.pairs[p] & 0x1FFFF for p in sorted(bpe.pairs, key=bpe.pairs.get)]
-        alike = merged == sorted(merged) and len(ranks) == len(spec["model"]["vocab"]) - len(added.keys() & spec["model"]["vocab"].keys())
-        pre = spec.get("pre_tokenizer") or {}
-        alike = alike and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.fast = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=added) if alike else None
+        self.plain = is_plain(spec)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.model, self.words = self.library.model, regex.compile(WORDS).findall
+        self.chars = {b: c for c, b in byte_chars().items()}
+        self.packed = Packed(self.word)
+
+    def word(self, word: bytes) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.chars))]).tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast:
-            try:
-                return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
-            except Exception:  # e.g. a run of blanks beyond its regex engine's stack
-                pass
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        if self.plain and not any(a in text for a in self.added):
+            return np.frombuffer(b"".join(map(self.packed.__getitem__, self.words(text))), "<u4")
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @cache
@@ -135,11 +135,13 @@ def crc_join(parts: list[tuple[int, int]]) -> int:
 def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of all documents below path.
 
-    pieces/kind=chunk: (digest, n_ids, payload), each digest once. recipes: (block, doc_id, row_id, n_tokens, root, chunks), blocks
-    being ranges of ascending (doc_id, row_id). manifest: (block, n_docs, n_tokens, start, root), and with block -1 the root of all.
-    A document's root hashes its chunks' digests, a block's root its documents' roots, the store's root the blocks'.
+    pieces/kind=chunk: (digest, n_ids, payload), each digest once. recipes: (block, leaf, doc_id, row_id, n_tokens, root, chunks), blocks
+    being ranges of ascending (doc_id, row_id) and leaves runs of LEAF documents of a block. manifest: (block, n_docs, n_tokens, start,
+    root), and with block -1 the root of all. A document's root hashes its chunks' digests, a leaf's root its documents' roots, a
+    block's root its leaves', the store's root the blocks'.
 
-    Texts stay where they are. Chunks are shuffled by digest, once a task each; of the rest, only ids and digests move. Null
+    Texts stay where they are. Chunks are shuffled by digest, once a task each; references to them are spread evenly, so that
+    a chunk that all documents share is no task's burden. Null
     text counts as empty and has the end id alone; null ids come first; rows that repeat are documents of their own.
     """
     spark = docs.sparkSession
@@ -188,14 +190,17 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array(["chunk"] * m, pa.string()), pa.nulls(m, batch.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), of(3), of(4), of(5)], names=["kind", *batch.schema.names])
 
     schema = f"doc_id {kind}, row_id long, seq int, digest binary, n_ids int, payload binary"
-    pieces = rows.mapInArrow(encode, schema).repartition("digest").mapInArrow(once, f"kind string, {schema}")
+    spread = F.when(F.col("payload").isNull(), F.xxhash64("row_id", "seq"))
+    pieces = rows.mapInArrow(encode, schema).repartition("digest", spread).mapInArrow(once, f"kind string, {schema}")
     pieces.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/pieces")
 
     refs = spark.read.schema(f"{schema}, kind string").parquet(f"{path}/pieces").filter("kind = 'ref'")
     recipe = refs.groupBy("doc_id", "row_id").agg(F.sum("n_ids").cast("long").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("seq", "digest", "n_ids"))).alias("chunks"))
     root = F.unhex(F.sha2(F.unhex(F.array_join(F.transform("chunks", lambda c: F.hex(c["digest"])), "")), 256))
     ordered = recipe.withColumn("root", root).repartitionByRange("doc_id", "row_id").sortWithinPartitions("doc_id", "row_id")
-    ordered.select(F.spark_partition_id().alias("block"), "doc_id", "row_id", "n_tokens", "root", "chunks").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    place = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
+    block, leaf = F.shiftright(place, 33).cast("int"), F.floor(place.bitwiseAND(F.lit(2**33 - 1)) / LEAF).cast("int")
+    ordered.select(block.alias("block"), leaf.alias("leaf"), "doc_id", "row_id", "n_tokens", "root", "chunks").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     blocks = _block_roots(_recipes(spark, path, kind))
     found = sorted(blocks.collect())  # as many as the range has parts
@@ -209,13 +214,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
 
 
 def _recipes(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.schema(f"block int, doc_id {kind}, row_id long, n_tokens long, root binary, chunks array<struct<seq:int,digest:binary,n_ids:int>>").parquet(f"{path}/recipes")
+    return spark.read.schema(f"block int, leaf int, doc_id {kind}, row_id long, n_tokens long, root binary, chunks array<struct<seq:int,digest:binary,n_ids:int>>").parquet(f"{path}/recipes")
 
 
 def _block_roots(recipes: DataFrame) -> DataFrame:
-    in_order = F.sort_array(F.collect_list(F.struct("doc_id", "row_id", F.hex("root").alias("root"))))
-    joined = F.unhex(F.array_join(F.transform(in_order, lambda d: d["root"]), ""))
-    return recipes.groupBy("block").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.unhex(F.sha2(joined, 256)).alias("root"))
+    """(block, n_docs, n_tokens, root): documents' roots meet in leaves of bounded size, leaves' roots in blocks."""
+    hashed = lambda *order: F.unhex(F.sha2(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.hex("root").alias("root")))), lambda d: d["root"]), "")), 256)).alias("root")
+    leaves = recipes.groupBy("block", "leaf").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), hashed("doc_id", "row_id"))
+    return leaves.groupBy("block").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), hashed("leaf"))
 
 
 def _block_starts(spark: SparkSession, path: str, recipes: DataFrame) -> DataFrame:
