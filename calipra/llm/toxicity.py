@@ -9,15 +9,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calipra.llm.boosting import BoostedTrees
 from calipra.llm.common import bound_batches
 
 THRESHOLD = 0.3
-#: The model is fitted on the driver, on so many labelled rows at most (those of the least hashes), of texts up to so many characters.
-MAX_LABELLED, MAX_CHARS = 8_000, 40_000
+#: The model is fitted on the driver, on so many labelled rows at most (those of the least hashes), of texts up to so many characters each and together.
+MAX_LABELLED, MAX_CHARS, ALL_CHARS = 8_000, 40_000, 40_000_000
 #: A term is in so many toxic training documents at least, and so many times as frequent there as in others.
 MIN_DOCS, MIN_RATIO = 4, 8.0
 #: Letters of a stem at least; letters of a word at least that may have an error, and errors.
@@ -267,7 +267,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     own = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).dropna().filter(~held_out(F.col("id"))).distinct()
     own = own.orderBy(F.xxhash64("id"), "id", "y").limit(limit)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter(F.char_length("text") <= MAX_CHARS)
-    rows = texts.join(F.broadcast(own), "id").orderBy(F.xxhash64("id"), "id", "y", "text").limit(2 * limit).collect()  # own is at most limit rows
+    rows = texts.join(F.broadcast(own), "id").orderBy(F.xxhash64("id"), "id", "y", "text").limit(limit)  # own is at most limit rows
+    so_far = F.sum(F.char_length("text")).over(Window.orderBy(F.xxhash64("id"), "id", "y", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("so_far", so_far).filter(F.col("so_far") <= ALL_CHARS).select("text", "y").collect()
     return ToxicityModel([(r.text, r.y) for r in rows])
 
 
