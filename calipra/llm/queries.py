@@ -14,7 +14,7 @@ from calipra.llm.sharding import shard_rows
 from calipra.llm.token_store import store_round_trip
 from calipra.llm.topk import top_k
 from calipra.llm.toxicity import fit, score_toxicity
-from calipra.llm.url_filter import UrlModel, judge_urls, seed_urls
+from calipra.llm.url_filter import judge_urls, rule_model
 from calipra.llm.warc import warc_round_trip
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,7 +34,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(_read(spark, sf_dir, "pages"), UrlModel(seed_urls()))
+    pages = _read(spark, sf_dir, "pages")
+    return judge_urls(pages, rule_model(pages))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import random
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calipra.llm.boosting import BoostedTrees
@@ -19,15 +18,10 @@ from calipra.llm.boosting import BoostedTrees
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: At least so likely to be a URL to block: block.
 THRESHOLD = 0.5
-#: The model is fitted on the driver, on so many labelled URLs at most (those of the least hashes).
+#: The model is fitted on the driver, on so many labelled URLs at most: of each label as many, those of the least hashes.
 MAX_LABELLED = 20_000
 
-# Words that the generated URLs with label 1 (block) and 0 (allow) are made of.
-BLOCK_WORDS = "casino poker slots bet bets betting win winner jackpot pills pharma meds viagra loan loans cash cheap replica free prize adult xxx porn sex cam ads adserver track tracker banner popup click spam farm seo malware crack warez torrent".split()
-ALLOW_WORDS = "news library museum garden school science music travel kitchen history river city weather book paper forum journal guide county art theater sport health report archive village harbor mountain radio studio lab".split()
-
 _PARTS = re.compile(r"(?s)^.*?://([^/?#]*)([^?#]*)")
-_WORD = re.compile(r"[a-z]+")
 
 
 def parts(url: str | None) -> tuple[str, str]:
@@ -59,62 +53,38 @@ class Rules:
         return best and best[1:]
 
 
-def seed_urls(n: int = 4000, seed: int = 1) -> list[tuple[str, int]]:
-    """Generated labelled URLs, for use where no labelled ones are given: half with label 1, made by the same grammar from other words.
-
-    Names of both kinds have invented words as well, and the same subdomains, endings, languages and queries, so that only
-    what their hosts and paths are made of tells them apart.
-    """
-    r = random.Random(seed)
-    invented = lambda: "".join(r.choice(("th", "er", "on", "an", "ti", "sh", "le", "ou", "re", "st", "na", "mi")) for _ in range(r.randint(2, 4)))
-    out = []
-    for i in range(n):
-        label = i % 2
-        words = BLOCK_WORDS if label else ALLOW_WORDS
-        if label:
-            name = "-".join(r.sample(words, 2)) if r.random() < 0.6 else r.choice(("-", "")).join((r.choice(words), r.choice((invented(), str(r.randint(1, 999)), "x"))))
-        else:
-            name = r.choice((invented(), invented(), invented() + r.choice(words), r.choice(words), r.choice(words) + r.choice(words), "-".join(r.sample(words, 2))))
-        host = r.choice(("", "", "www.", "m.", "blog.")) + name + r.choice(("", "", ".example")) + r.choice((".com", ".org", ".net"))
-        tail = r.choice(("", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed", "?id=7"))
-        out.append((f"http{r.choice(('', 's'))}://{host}/{r.choice(('en', 'de', 'fr', 'es'))}/{r.randint(1, 9999)}{tail}", label))
-    return out
-
-
 def _entropy(s: str) -> float:
     return -sum(k / len(s) * math.log2(k / len(s)) for k in Counter(s).values()) if s else 0.0
 
 
 class UrlModel:
-    """Lexical features of URLs and the trees fitted to them. Statistics of suffixes and words come from the labelled URLs alone."""
+    """Lexical features of URLs and the trees fitted to them. Statistics of suffixes come from the labelled URLs alone.
 
-    def __init__(self, labelled: list[tuple[str | None, int]], prior: float = 20.0):
+    A suffix in withheld has none: where labels come from rules, those that rules name would only restate them.
+    """
+
+    def __init__(self, labelled: list[tuple[str | None, int]], withheld: frozenset[str] = frozenset(), prior: float = 20.0):
         hits: Counter = Counter()
         seen: Counter = Counter()
         for url, y in labelled:
-            for k in self._keys(url):
-                seen[k] += 1
-                hits[k] += y
+            seen[top := self._suffix(url)] += 1
+            hits[top] += y
         self.mean = (sum(hits.values()) + 1) / (sum(seen.values()) + 2)
-        self.rate = {k: (hits[k] + prior * self.mean) / (n + prior) for k, n in seen.items() if n >= 3}
+        self.rate = {k: (hits[k] + prior * self.mean) / (n + prior) for k, n in seen.items() if n >= 3 and k not in withheld}
         self.trees = BoostedTrees().fit(self._matrix([u for u, _ in labelled]), np.array([y for _, y in labelled]))
 
     @staticmethod
-    def _keys(url: str | None) -> set[tuple[str, str]]:
-        """The URL's top-level suffix and the words of its host before it."""
-        host, _ = parts(url)
-        name, _, top = host.rpartition(".")
-        return {("suffix", top), *(("word", w) for w in _WORD.findall(name))}
+    def _suffix(url: str | None) -> str:
+        return parts(url)[0].rpartition(".")[2].partition(":")[0]
 
     def features(self, url: str | None) -> list[float]:
+        """Lengths, depth, parts of the host, shares of digits, entropies, parameters, and the rate of label 1 under the suffix."""
         url = url or ""
         host, path = parts(url)
         query = url.partition("?")[2].partition("#")[0]
-        rates = sorted(self.rate.get(k, self.mean) for k in self._keys(url) if k[0] == "word") or [self.mean]
-        top = self.rate.get(("suffix", host.rpartition(".")[2]), self.mean)
         digits = sum(c.isdigit() for c in url) / max(len(url), 1)
-        host_digits = sum(c.isdigit() for c in host)
-        return [len(url), len(host), len(path), path.count("/"), host.count("."), host.count("-"), host_digits, digits, _entropy(host), _entropy(path), len([q for q in query.split("&") if q]), top, rates[-1], rates[0], sum(rates) / len(rates)]
+        host_digits = sum(c.isdigit() for c in host) / max(len(host), 1)
+        return [len(url), len(host), len(path), path.count("/"), host.count("."), host.count("-"), host_digits, digits, _entropy(host), _entropy(path), _entropy(url), len([q for q in query.split("&") if q]), len(query), self.rate.get(self._suffix(url), self.mean)]
 
     def _matrix(self, urls: list[str | None]) -> np.ndarray:
         return np.array([self.features(u) for u in urls], float).reshape(len(urls), len(self.features(None)))
@@ -124,10 +94,38 @@ class UrlModel:
         return self.trees.predict(self._matrix(urls))
 
 
+def rule_labels(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
+    """(url, label) of the URLs that a rule decides, label 1 for block: labels that the data itself gives. Null and odd URLs fit no rule."""
+    table = Rules(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(u, m[1]) for u in batch.column(0).to_pylist() if (m := table.match(*parts(u)))]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([int(v == "block") for _, v in found], pa.int32())], names=["url", "label"])
+
+    return pages.select(url).mapInArrow(run, "url string, label int")
+
+
+def rule_suffixes(rules=RULES) -> frozenset[str]:
+    return frozenset(rule.partition("/")[0].rpartition(".")[2] for _, rule in rules)
+
+
+def held_out(url: Column) -> Column:
+    """Whether a labelled URL is kept from fitting, to measure the model: crc32 of it, modulo 4, is 2."""
+    return F.crc32(url) % 4 == 2
+
+
 def labelled_sample(labelled: DataFrame, url: str = "url", label: str = "label", limit: int = MAX_LABELLED) -> list[tuple[str, int]]:
-    """At most limit labelled URLs, those of the least hashes: the same ones however the table is partitioned. Nulls are left out."""
+    """At most limit labelled URLs, of both labels as many, those of the least hashes: the same ones however the table is partitioned. Nulls are left out."""
     rows = labelled.select(F.col(url).alias("u"), F.col(label).cast("int").alias("y")).dropna().distinct()
-    return [(r.u, r.y) for r in rows.orderBy(F.xxhash64("u"), "u", "y").limit(limit).collect()]
+    ones, zeros = ([(r.u, r.y) for r in rows.filter(F.col("y") == y).orderBy(F.xxhash64("u"), "u").limit(limit // 2).collect()] for y in (1, 0))
+    n = min(len(ones), len(zeros))
+    return ones[:n] + zeros[:n]
+
+
+def rule_model(pages: DataFrame, rules=RULES, url: str = "url") -> UrlModel:
+    """The model of the pages' URLs that rules decide, held-out ones left out."""
+    return UrlModel(labelled_sample(rule_labels(pages, rules, url).filter(~held_out(F.col("url")))), rule_suffixes(rules))
 
 
 def judge_urls(pages: DataFrame, model: UrlModel, rules=RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url: str = "url") -> DataFrame:
