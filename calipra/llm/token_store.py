@@ -11,12 +11,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from calipra.llm.bpe import WORDS, Packed, byte_chars, is_plain
+from calipra.llm.bpe import Packed, byte_chars, is_plain, split_words
 from calipra.llm.common import bound_batches, new_path
 
 #: The id that ends a document.
@@ -43,7 +42,7 @@ class Encoder:
         spec = json.load(open(path, encoding="utf-8"))
         self.plain = is_plain(spec)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.model, self.words = self.library.model, regex.compile(WORDS).findall
+        self.model = self.library.model
         self.chars = {b: c for c, b in byte_chars().items()}
         self.packed = Packed(self.word)
 
@@ -52,7 +51,7 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if self.plain and not any(a in text for a in self.added):
-            return np.frombuffer(b"".join(map(self.packed.__getitem__, self.words(text))), "<u4")
+            return np.frombuffer(b"".join(map(self.packed.__getitem__, split_words(text))), "<u4")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

@@ -11,12 +11,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from calipra.llm.bpe import bpe_round_trip, load
+from calipra.llm.bpe import WORDS, bpe_round_trip, load, split_words
 from calipra.llm.components import components
 from calipra.llm.decontam import decontaminate, drop_contaminated
 from calipra.llm.line_dedup import host_of, line_dedup
@@ -35,6 +36,13 @@ def test_bpe_is_the_librarys(text):
     assert bpe.decode(packed) == lib.decode(array("I", packed).tolist(), skip_special_tokens=False)
 
 
+def test_words_are_the_patterns():
+    """Each character, and each two of different kinds, are split as the vocabulary's pattern does."""
+    find = regex.compile(WORDS).findall
+    assert all(split_words(t) == find(t) for c in range(0x250) for t in (chr(c), f"a{chr(c)}b", f"1{chr(c)}2", f" {chr(c)} {chr(c)}!", f"_{chr(c)}'s\n{chr(c)}\n\n"))
+    assert all(split_words(t) == find(t) for t in ("日本 ½ x", "a\x1cb", "it's I'll  \n", "²³ a", "\u2028x"))
+
+
 def _library():
     if not hasattr(_library, "t"):
         _library.t = Tokenizer.from_file(PATH)
