@@ -27,6 +27,16 @@ def _runs(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
 
+def _keys(w: Column) -> Column:
+    """Words as 64-bit numbers."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _tokens(k: Column, n: int) -> Column:
+    """The 64-bit number of each run of n words (given as numbers), in order of their places: the tokens of the join. What meets by them is compared word by word."""
+    return F.when(F.size(k) >= n, F.transform(F.sequence(F.lit(0), F.size(k) - n), lambda i: F.xxhash64(*[F.get(k, i + j) for j in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+
+
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(item, window, n): the different windows of each item as blank-joined words; n is their number of words."""
     w = benchmark.select(F.col(item).alias("item"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
@@ -37,48 +47,50 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
 def window_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(key, at, n, window): each place of a document (by row key) where a window of the benchmark occurs.
 
-    Tokens are shingles of words. The documents' shingles meet the benchmark's once; what met is kept as a table and is all that
-    later steps read. Shingles are ordered by how many rows of it they have, over all documents; as a window occurs only where
-    all its shingles do, its rarest one is all the prefix that it needs. Where that one is found, the window must begin
-    offset words before it: bounds of place and length drop what would begin before the document does or end after it. Then all other
-    shingles must be found at their places, which is equality of all the window's words.
+    Tokens are shingles of words. One pass over the documents counts the benchmark's shingles and writes nothing else: that is
+    their order of rarity. As a window occurs only where all its shingles do, its rarest one is all the prefix that it needs, and
+    a window with one that no document has occurs nowhere. A second pass joins the documents with these prefixes alone. Where one
+    is found, the window must begin offset words before it: bounds of place and length drop what would begin before the document
+    does or end after it; what is left is compared word by word, in the document's own words, which are still at hand there. A
+    benchmark beyond broadcast_bytes is joined by shuffles of places, and texts that met a prefix join what they met.
     """
     windows = item_windows(benchmark, item, item_text, window).select("window", "n").distinct()
     # windows of fewer words than a shingle have one token, of all their words
     size = F.least(F.col("n"), F.lit(shingle))
-    tokens = materialize(
-        windows.select("window", "n", size.alias("size"), F.posexplode(_sized_runs(F.split("window", " "), shingle)).alias("offset", "token")), "window-tokens"
-    )
+    own = windows.select("window", "n", size.alias("size"), _keys(F.split("window", " ")).alias("k"))
+    by_size = F.coalesce(*[F.when(F.col("size") == n, _tokens(F.col("k"), n)) for n in range(1, shingle + 1)])
+    tokens = materialize(own.select("window", "n", "size", F.posexplode(by_size).alias("offset", "token")), "window-tokens")
     sizes = sorted(r[0] for r in tokens.select("size").distinct().collect())  # at most as many as a shingle has words
-    vocabulary = tokens.select("token").distinct()
-    n_bytes = tokens.agg(F.coalesce(F.sum(F.octet_length("token") + 8), F.lit(0))).first()[0]
-    small = n_bytes <= broadcast_bytes
-    if small:
-        vocabulary = F.broadcast(vocabulary)
     d = docs.select(_key(F.col(id_col), F.col(text)).alias("key"), words(F.col(text)).alias("w"))
-    found = None
-    for n in sizes:
-        runs = d.select("key", F.size("w").alias("n_words"), F.posexplode(_runs(F.col("w"), n)).alias("at", "token"))
-        met = runs.join(vocabulary, "token", "left_semi")
-        found = met if found is None else found.unionByName(met)
-    if found is None:
-        found = d.select("key", F.size("w").alias("n_words"), F.lit(0).alias("at"), F.lit("").alias("token")).limit(0)
-    found = materialize(found, "met-tokens")
-    rarity = found.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
-    # windows that lack a token in all documents occur in none
+    if not sizes:
+        return d.select("key", F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit("").alias("window")).limit(0)
+    # prefixes are sent with their windows' texts, and no window has more than one
+    n_bytes = tokens.select("window").distinct().agg(F.sum(F.octet_length("window") + 64)).first()[0]
+    small = n_bytes <= broadcast_bytes
+    sent = (lambda x: F.broadcast(x)) if small else (lambda x: x)
+
+    def places(*cols: str) -> DataFrame:
+        """at and token of all runs of words of the sizes asked for, from one pass."""
+        each = d.select("key", "w", _keys(F.col("w")).alias("k"))
+        if len(sizes) == 1:
+            return each.select(*cols, F.posexplode(_tokens(F.col("k"), sizes[0])).alias("at", "token"))
+        all_sizes = F.concat(*[F.transform(_tokens(F.col("k"), n), lambda t, i: F.struct(i.alias("at"), t.alias("token"))) for n in sizes])
+        return each.select(*cols, F.explode(all_sizes).alias("x")).select(*cols, "x.at", "x.token")
+
+    vocabulary = tokens.select("token").distinct()
+    rarity = materialize(places("key").join(sent(vocabulary), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("rows")), "rarity")
     ranked = tokens.join(rarity, "token").groupBy("window", "n", "size").agg(F.count(F.lit(1)).alias("present"), F.min(F.struct("rows", "offset", "token")).alias("first"))
     prefix = ranked.filter(F.col("present") == F.col("n") - F.col("size") + 1).select("window", "n", F.col("first.token").alias("token"), F.col("first.offset").alias("offset"))
     start = F.col("at") - F.col("offset")
-    placed = found.join(F.broadcast(prefix) if small else prefix, "token").select("key", "window", "n", start.alias("start"), "n_words")
-    placed = placed.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
-    wanted = placed.join(F.broadcast(tokens.drop("n")) if small else tokens.drop("n"), "window").select("key", "window", "n", "start", (F.col("start") + F.col("offset")).alias("at"), "token", "size")
-    checked = wanted.join(found.select("key", "at", "token").distinct(), ["key", "at", "token"])
-    same = checked.groupBy("key", "window", "n", "size", "start").agg(F.countDistinct("at").alias("met"))
-    return same.filter(F.col("met") == F.col("n") - F.col("size") + 1).select("key", F.col("start").alias("at"), "n", "window")
-
-
-def _sized_runs(w: Column, shingle: int) -> Column:
-    return F.when(F.size(w) < shingle, F.array(F.array_join(w, " "))).otherwise(_runs(w, shingle))
+    fits = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("w"))
+    same = F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ") == F.col("window")
+    if small:
+        met = places("key", "w").join(F.broadcast(prefix), "token").select("key", "w", "window", "n", start.alias("start")).filter(fits & same)
+        return met.select("key", F.col("start").alias("at"), "n", "window").distinct()
+    met = materialize(places("key").join(prefix, "token").select("key", "window", "n", start.alias("start")).filter("start >= 0").distinct(), "met-prefixes")
+    met = met.groupBy("key").agg(F.collect_list(F.struct("start", "n", "window")).alias("met"))
+    both = d.join(met, "key").select("key", "w", F.explode("met").alias("m")).select("key", "w", "m.*")
+    return both.filter(fits & same).select("key", F.col("start").alias("at"), "n", "window").distinct()
 
 
 def _key(doc_id: Column, text: Column) -> Column:
