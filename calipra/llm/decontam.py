@@ -51,8 +51,8 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     their order of rarity. As a window occurs only where all its shingles do, its rarest one is all the prefix that it needs, and
     a window with one that no document has occurs nowhere. A second pass joins the documents with these prefixes alone. Where one
     is found, the window must begin offset words before it: bounds of place and length drop what would begin before the document
-    does or end after it; what is left is compared word by word, in the document's own words, which are still at hand there. A
-    benchmark beyond broadcast_bytes is joined by shuffles of places, and texts that met a prefix join what they met.
+    does or end after it; documents that met a prefix are read once more, and the window is compared word by word, in the
+    document's own words. What is beyond broadcast_bytes, of the benchmark or of what met, is joined by a shuffle instead.
     """
     windows = item_windows(benchmark, item, item_text, window).select("window", "n").distinct()
     # windows of fewer words than a shingle have one token, of all their words
@@ -71,7 +71,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
     def places(*cols: str) -> DataFrame:
         """at and token of all runs of words of the sizes asked for, from one pass."""
-        each = d.select("key", "w", _keys(F.col("w")).alias("k"))
+        each = d.select("key", _keys(F.col("w")).alias("k"))
         if len(sizes) == 1:
             return each.select(*cols, F.posexplode(_tokens(F.col("k"), sizes[0])).alias("at", "token"))
         all_sizes = F.concat(*[F.transform(_tokens(F.col("k"), n), lambda t, i: F.struct(i.alias("at"), t.alias("token"))) for n in sizes])
@@ -82,15 +82,15 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     ranked = tokens.join(rarity, "token").groupBy("window", "n", "size").agg(F.count(F.lit(1)).alias("present"), F.min(F.struct("rows", "offset", "token")).alias("first"))
     prefix = ranked.filter(F.col("present") == F.col("n") - F.col("size") + 1).select("window", "n", F.col("first.token").alias("token"), F.col("first.offset").alias("offset"))
     start = F.col("at") - F.col("offset")
-    fits = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("w"))
-    same = F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ") == F.col("window")
-    if small:
-        met = places("key", "w").join(F.broadcast(prefix), "token").select("key", "w", "window", "n", start.alias("start")).filter(fits & same)
-        return met.select("key", F.col("start").alias("at"), "n", "window").distinct()
-    met = materialize(places("key").join(prefix, "token").select("key", "window", "n", start.alias("start")).filter("start >= 0").distinct(), "met-prefixes")
+    met = places("key").join(sent(prefix), "token").select("key", "window", "n", start.alias("start")).filter("start >= 0").distinct()
     met = met.groupBy("key").agg(F.collect_list(F.struct("start", "n", "window")).alias("met"))
-    both = d.join(met, "key").select("key", "w", F.explode("met").alias("m")).select("key", "w", "m.*")
-    return both.filter(fits & same).select("key", F.col("start").alias("at"), "n", "window").distinct()
+    met = materialize(met.select(F.col("key").alias("met_key"), "met"), "met-prefixes")
+    n_bytes = met.agg(F.coalesce(F.sum(F.aggregate("met", F.lit(64), lambda n, x: n + F.octet_length(x["window"]) + 16)), F.lit(0))).first()[0]
+    keyed = docs.select(_key(F.col(id_col), F.col(text)).alias("key"), F.col(text).alias("text"))
+    rows = keyed.join(F.broadcast(met) if n_bytes <= broadcast_bytes else met, F.col("key") == F.col("met_key")).dropDuplicates(["key"])
+    same = lambda w, m: (m["start"] + m["n"] <= F.size(w)) & (F.array_join(F.slice(w, m["start"] + 1, m["n"]), " ") == m["window"])
+    hits = F.transform(F.array(words(F.col("text"))), lambda w: F.filter("met", lambda m: same(w, m)))[0]
+    return rows.select("key", F.explode(hits).alias("m")).select("key", F.col("m.start").alias("at"), "m.n", "m.window")
 
 
 def _key(doc_id: Column, text: Column) -> Column:
