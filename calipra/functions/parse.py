@@ -62,14 +62,18 @@ def _parse_body(prefix: Column, body: Column) -> Column:
     return let(found, finish)
 
 
+def with_canonical(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the canonical form of a column (canonical), made once; for what needs no parse."""
+    return df.select("*", F.explode(F.array(canonical_line(F.col(text)))).alias("canonical"))
+
+
 def with_parsed(df: DataFrame, text: str = "text", out: str = "parsed") -> DataFrame:
     """Adds the canonical form of a column (canonical) and its parse (out). Lines are parsed once; what follows reads the struct.
 
     The parse comes out of a generator of one row: else the optimizer would put it in place of each use of its fields, in filters
     and projections, and run it again for each.
     """
-    d = df.select("*", F.explode(F.array(canonical_line(F.col(text)))).alias("canonical"))
-    return d.select("*", F.explode(F.array(parse_canonical(F.col("canonical")))).alias(out))
+    return with_canonical(df, text).select("*", F.explode(F.array(parse_canonical(F.col("canonical")))).alias(out))
 
 
 def line_pattern(parsed: Column) -> Column:

@@ -42,25 +42,37 @@ def normalize_value(value: Column) -> Column:
     return F.nullif(F.replace(normalize_space(value), F.lit(","), F.lit(".")), F.lit(""))
 
 
+def _known_unit(word: Column) -> Column:
+    """A word without white space as the unit that it stands for, else as it is."""
+    return F.coalesce(lookup(F.lower(word), {u.lower(): u for u in fixed.UNITS} | fixed.UNIT_ALIASES), word)
+
+
 def normalize_unit(unit: Column) -> Column:
     """STR-3: a known unit, by alias or without regard to case; else as it is; blank becomes null."""
-    known = {u.lower(): u for u in fixed.UNITS}
-    return let(F.nullif(normalize_space(unit), F.lit("")), lambda u: F.coalesce(lookup(F.lower(u), fixed.UNIT_ALIASES), lookup(F.lower(u), known), u))
+    return let(F.nullif(normalize_space(unit), F.lit("")), _known_unit)
 
 
 def is_known_unit(unit: Column) -> Column:
     return F.coalesce(unit.isin(*fixed.UNITS), F.lit(False))
 
 
-def clean_noise(text: Column) -> Column:
-    """STR-4: markup, odd characters and glued values, in the order that results depend on."""
+#: What lines have that markup, odd characters or a value between slashes are to be cleaned of.
+_ODD = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in fixed.CHARS_FROM + "\\{}|") + r"]|/\s*[-+\d]"
+
+
+def _without_markup(text: Column) -> Column:
     x = replace(text, r"\\(?:text|mathrm)\{([^}]*)\}", "$1")
     x = F.translate(x, fixed.CHARS_FROM, fixed.CHARS_TO)
     x = replace(x, r"\\[,;! ]", " ")
     x = F.translate(x, "{}", "  ")
     x = F.replace(x, F.lit("\\%"), F.lit(" %"))
     x = F.replace(F.replace(x, F.lit("\\,"), F.lit(" ")), F.lit("|"), F.lit(" "))
-    x = replace(x, rf"/\s*({NUMBER})\s*({_ANY_UNIT})\s*/", "$1 $2", "iU")
+    return replace(x, rf"/\s*({NUMBER})\s*({_ANY_UNIT})\s*/", "$1 $2", "iU")
+
+
+def clean_noise(text: Column) -> Column:
+    """STR-4: markup, odd characters and glued values, in the order that results depend on. Steps that a line can't need are passed over."""
+    x = F.when(has(text, _ODD), _without_markup(text)).otherwise(text)
     x = replace(x, r"^(?:ı|I|l)\s+(?=[A-Za-z])", "1 ")
     x = F.replace(x, F.lit("EF("), F.lit("EF ("))
     x = replace(x, r"^(\d{1,2})(?=[A-Za-z'])", "$1 ")
@@ -68,6 +80,15 @@ def clean_noise(text: Column) -> Column:
     return normalize_space(x)
 
 
+#: Any line that a repair of labels changes holds one of their patterns as it comes.
+_ANY_REPAIR = "|".join(f"(?:{pattern})" for pattern, _ in fixed.LABEL_REPAIRS)
+
+
+def repair_labels(line: Column) -> Column:
+    """The repairs of labels, in their order, of lines that have any to repair."""
+    return let(line, lambda x: F.when(has(x, _ANY_REPAIR, "iU"), reduce(lambda c, r: replace(c, r[0], r[1], "iU"), fixed.LABEL_REPAIRS, x)).otherwise(x))
+
+
 def strip_unit_filler(line: Column) -> Column:
     """STR-6: what follows the last known unit goes, if it is dots, dashes, slashes and underscores; longest unit first."""
     tail = r"(?=[^_]*_[^_]*_|[^.]*\.[^.]*\.|[^-]*-[^-]*-|[^/]*/)[\s_.\-/]*$"
@@ -83,12 +104,12 @@ def strip_unit_filler(line: Column) -> Column:
 
 
 def count_alnum(text: Column) -> Column:
-    return F.length(replace(text, r"[^\p{L}\p{N}]", ""))
+    return F.length(replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
 def count_punctuation(text: Column) -> Column:
     """Characters that are neither letters, numbers nor white space."""
-    return F.length(replace(text, r"[\p{L}\p{N}\s]", ""))
+    return F.length(replace(text, r"[\p{L}\p{N}\s]+", ""))
 
 
 def is_symbol_junk(text: Column) -> Column:
@@ -106,10 +127,9 @@ def is_filler_line(text: Column) -> Column:
 def canonical_line(text: Column) -> Column:
     """STR-5: the canonical form of a line; empty for junk and null."""
     x = clean_noise(F.coalesce(text, F.lit("")))
-    x = reduce(lambda c, r: replace(c, r[0], r[1], "iU"), fixed.LABEL_REPAIRS, x)
-    x = strip_unit_filler(x)
+    x = strip_unit_filler(repair_labels(x))
     x = replace(x, r"(?:\s*(?:_+|(?:[.-]\s*){3,}|-+))+\s*$", "")
-    x = F.array_join(F.transform(F.split(normalize_space(x), " "), lambda t: F.coalesce(normalize_unit(t), t)), " ")
+    x = F.array_join(F.transform(F.split(normalize_space(x), " "), lambda t: _known_unit(t)), " ")
     return let(normalize_space(x), lambda c: F.when(is_symbol_junk(c), "").otherwise(c))
 
 
@@ -132,7 +152,7 @@ def canonical_label_line(text: Column, split_any_case: bool = False, fix_squares
     x = F.translate(x, "{}", "  ")
     x = F.replace(x, F.lit("\\"), F.lit(" "))
     if fix_squares:
-        x = replace(x, r"\b(m/s|cm)\s+2\b", "${1}2")
+        x = replace(x, r"\b(m/s|cm)\s+2\b", "$12")  # group 1, then 2
     x = replace(x, r"(\d)(%|mmHg|ml|cm2|cm/s|cm|mm|m/s2|m/s|ms|bpm|s)\b", "$1 $2", "iU" if split_any_case else "U")
     return normalize_space(x)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calipra.functions.parse import line_pattern
@@ -82,3 +82,17 @@ def preferred_units(lines: DataFrame) -> DataFrame:
     """AGG-7: each family's most frequent unit; of equals the least."""
     best = F.row_number().over(Window.partitionBy("family").orderBy(F.desc("n"), "unit"))
     return family_units(lines).withColumn("r", best).filter("r = 1").drop("r")
+
+
+def save(tables: dict[str, DataFrame], path: str) -> None:
+    """SNK-7: the lexicon's tables as Parquet, a folder each."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/table={name}")
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """SRC-12: the tables of a saved lexicon by name."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    names = sorted(f.getPath().getName().removeprefix("table=") for f in found if f.getPath().getName().startswith("table="))
+    return {n: spark.read.parquet(f"{path}/table={n}") for n in names}

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from calipra.functions.parse import parse_canonical
 from calipra.functions.text import canonical_line, has
 
-#: Tokens of a blob that is recovered; a longer one stays as it is. Spans are bounded by the tokens of a line.
-TOKENS, SPAN = 200, 24
 _UNITISH = r"^(%|mmhg|cm/s|m/s|cm|mm|ms|s|bpm|ml/m2|cm2|ml|m/s2)$"
 
 
@@ -22,10 +20,10 @@ def starts_label(token: Column) -> Column:
 
 
 def spans(blobs: DataFrame, key: str = "blob_id", text: str = "text") -> DataFrame:
-    """A row for each blob: its tokens, which of them begin a label, and (start, end, canonical, parsed) of each span of up to SPAN tokens, all made by built-in expressions."""
-    d = blobs.select(key, F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "").alias("tokens")).filter((F.size("tokens") > 0) & (F.size("tokens") <= TOKENS))
+    """A row for each blob: its tokens, which of them begin a label, and (start, end, canonical, parsed) of each span, all made by built-in expressions. Spans grow with the square of a blob's tokens, as any of them may be a line."""
+    d = blobs.select(key, F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "").alias("tokens")).filter(F.size("tokens") > 0)
     d = d.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)))
-    d = d.withColumn("end", F.explode(F.sequence(F.col("start") + 1, F.least(F.size("tokens"), F.col("start") + SPAN))))
+    d = d.withColumn("end", F.explode(F.sequence(F.col("start") + 1, F.size("tokens"))))
     d = d.withColumn("canonical", canonical_line(F.array_join(F.slice("tokens", F.col("start") + 1, F.col("end") - F.col("start")), " "))).withColumn("p", parse_canonical(F.col("canonical")))
     part = F.struct("start", "end", "canonical", F.col("p.label").isNotNull().alias("label"), F.col("p.value").isNotNull().alias("value"), F.col("p.unit").isNotNull().alias("unit"), F.col("p.prefix").isNotNull().alias("prefix"), F.col("p.confidence").alias("syntax"), has(F.col("canonical"), r"\p{L}").alias("letters"), has(F.col("canonical"), r"\d").alias("digits"))
     out = d.groupBy(key, "tokens").agg(F.collect_list(part).alias("spans"))

@@ -93,3 +93,62 @@ def prefix_sums(df: DataFrame, sums: list[str], *order: str, parts: int = 64) ->
     own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({f"{c}_own": F.sum(c).over(own) for c in sums}).join(F.broadcast(starts), "part")
     return d.withColumns({f"{c}_sum": F.col(f"{c}_own") + F.col(f"{c}_start") for c in sums}).drop("part", *[f"{c}_own" for c in sums], *[f"{c}_start" for c in sums])
+
+
+def exact_percentile(df: DataFrame, value: str, q: float, *by: str, bins: int = 4096, rounds: int = 2) -> DataFrame:
+    """AGG-10: by and percentile: the value at q of each group, between neighbours by their distance. Groups are few, their rows may be many.
+
+    Round by round, a histogram finds the bin that holds the two ranks asked for, and only what lies in it is looked at again; at
+    last, its different values are counted in order. No task gathers a group's values. Null values don't count.
+    """
+    d = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    rank = F.lit(q) * (F.col("n") - 1)
+    state = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = state.select(*by, F.floor(rank).alias("first"), F.ceil(rank).alias("second"), (rank - F.floor(rank)).alias("share"), "lo", "hi", F.lit(0).cast("long").alias("below"))
+    upto = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    facts = ["first", "second", "share", "below"]
+    for r in range(rounds + 1):
+        inside = d.join(F.broadcast(state), [*by]).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        step = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
+        counts = inside.withColumn("bin", F.col("v") if r == rounds else step).groupBy(*by, "bin", *facts).agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("least"), F.max("v").alias("most"))
+        counts = counts.withColumn("end", F.col("below") + F.sum("k").over(upto)).withColumn("start", F.col("end") - F.col("k"))
+        holds = lambda c: (F.col("start") <= F.col(c)) & (F.col(c) < F.col("end"))
+        found = counts.filter(holds("first") | holds("second"))
+        state = found.groupBy(*by, "first", "second", "share").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.min("start").alias("below"))
+    return state.select(*by, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("share")).alias("percentile"))
+
+
+def latencies(df: DataFrame, engine: str, value: str) -> DataFrame:
+    """AGG-10: number, sum, mean and exact 95th percentile of an engine's latencies."""
+    sums = df.groupBy(F.col(engine).alias("engine")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total_ms"), F.round(F.avg(value), 6).alias("mean_ms"))
+    p95 = exact_percentile(df.select(F.col(engine).alias("engine"), value), value, 0.95, "engine").select("engine", F.round("percentile", 6).alias("p95_ms"))
+    return sums.join(F.broadcast(p95), "engine")  # a row an engine
+
+
+def panel_confidence(lines: DataFrame, *panel: str) -> DataFrame:
+    """AGG-8: mean confidence of a panel's lines, and their texts in order. A panel has few lines."""
+    d = lines.groupBy(*panel).agg(F.avg("confidence").alias("confidence"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("t"))
+    return d.select(*panel, "confidence", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("combined_text"))
+
+
+def in_text_order(df: DataFrame, *group: str, order: str = "pos") -> DataFrame:
+    """STR-12: a group's measurements numbered in the order of their lines, from 1."""
+    return df.withColumn("text_order", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
+
+
+def class_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """AGG-21's input: how often each letter occurs."""
+    d = texts.select(F.explode(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z]", "")), "")).alias("label"))
+    return d.filter("label <> ''").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_quotas(counts: DataFrame, q: float = 0.2) -> DataFrame:
+    """AGG-21: classes (label, n; few) with the target, the q-quantile of their counts, and what each lacks of it."""
+    t = counts.agg(F.floor(F.percentile("n", q)).alias("target"))  # one row
+    return counts.crossJoin(F.broadcast(t)).select("label", "n", "target", F.greatest(F.col("target") - F.col("n"), F.lit(0)).alias("quota"))
+
+
+def class_weights(counts: DataFrame) -> DataFrame:
+    """AGG-23: the greatest count over each class's."""
+    top = counts.agg(F.max("n").alias("top"))  # one row
+    return counts.crossJoin(F.broadcast(top)).select("label", "n", F.round(F.col("top") / F.col("n"), 9).alias("weight"))

@@ -76,10 +76,10 @@ def frame_count(header: Column) -> Column:
 
 def infer_box_format(boxes: Column, width: Column, height: Column) -> Column:
     """IMG-10: xywh or xyxy, by which reading of the boxes (arrays of four numbers) overflows a frame less; of equals xywh."""
-    over = lambda v, most: F.greatest(v - most, F.lit(0))
+    over = lambda v, most: F.greatest((v - most).cast("double"), F.lit(0.0))
     add = lambda acc, x: acc + x
-    as_size = F.aggregate(F.transform(boxes, lambda b: over(b[0] + b[2], width) + over(b[1] + b[3], height)), F.lit(0), add)
-    as_ends = F.aggregate(F.transform(boxes, lambda b: over(b[2], width) + over(b[3], height) + F.greatest(b[0] - b[2], F.lit(0)) + F.greatest(b[1] - b[3], F.lit(0))), F.lit(0), add)
+    as_size = F.aggregate(F.transform(boxes, lambda b: over(b[0] + b[2], width) + over(b[1] + b[3], height)), F.lit(0.0), add)
+    as_ends = F.aggregate(F.transform(boxes, lambda b: over(b[2], width) + over(b[3], height) + over(b[0], b[2]) + over(b[1], b[3])), F.lit(0.0), add)
     return F.when(as_size <= as_ends, "xywh").otherwise("xyxy")
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calipra.functions import fixed
-from calipra.functions.parse import line_pattern, safe_correction, with_parsed
+from calipra.functions.parse import line_pattern, safe_correction, with_canonical, with_parsed
 from calipra.functions.text import is_filler_line, is_symbol_junk, is_telemetry, normalize_space, stable_split
 from calipra.operators import evaluate, lexicon, results
 from calipra.plans.fixtures import SQL_LINES, lines, read
+from calipra.sources import records
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -39,7 +40,7 @@ def derived_lines(spark, sf_dir):
 
 @query(f"WITH {SQL_LINES} SELECT file_name, pos, g_text AS canonical FROM got")
 def canonical_lines(spark, sf_dir):
-    return parsed(spark, sf_dir, "pred_text").select("file_name", "pos", "canonical")
+    return with_canonical(lines(spark, sf_dir), "pred_text").select("file_name", "pos", "canonical")
 
 
 @query(f"WITH {SQL_LINES} SELECT file_name, pos, prefix, g_label AS label, g_value AS value, g_unit AS unit, 1.0::DOUBLE AS confidence, true AS is_measurement, lower(label) AS family FROM got")
@@ -95,12 +96,12 @@ def pattern_counts(spark, sf_dir):
 
 @query(f"WITH {SQL_LINES} SELECT split, count(*) AS n FROM got GROUP BY ALL")
 def split_counts(spark, sf_dir):
-    return lexicon.split_counts(parsed(spark, sf_dir))
+    return lexicon.split_counts(with_canonical(lines(spark, sf_dir)))
 
 
 @query(f"WITH {SQL_LINES} SELECT text AS canonical, count(*) AS n FROM got GROUP BY ALL")
 def exact_line_counts(spark, sf_dir):
-    return lexicon.exact_line_counts(parsed(spark, sf_dir))
+    return lexicon.exact_line_counts(with_canonical(lines(spark, sf_dir)))
 
 
 @query(f"WITH {SQL_LINES} SELECT family, unit, n FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, unit) AS r FROM (SELECT lower(label) AS family, unit, count(*) AS n FROM got GROUP BY ALL)) WHERE r = 1")
@@ -181,9 +182,7 @@ def dedup_best_confidence(spark, sf_dir):
 
 @query(f"WITH {_RESULTS} SELECT file_name, CAST(row_number() OVER (PARTITION BY file_name ORDER BY pos) AS INTEGER) AS text_order, name FROM k")
 def ordered_measurements(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return measurements(spark, sf_dir).select("file_name", F.row_number().over(Window.partitionBy("file_name").orderBy("pos")).alias("text_order"), "name")
+    return results.in_text_order(measurements(spark, sf_dir), "file_name").select("file_name", "text_order", "name")
 
 
 @query(f"""WITH {_RESULTS}
@@ -271,12 +270,36 @@ def best_match_with_reuse(spark, sf_dir):
     return evaluate.best_with_reuse(_items(spark, sf_dir, "text"), _items(spark, sf_dir, "pred_text"))
 
 
-@query()
+def greedy_sql(kind: str) -> str:
+    """Common tables up to greedy: expected lines one after the other, each with the best predicted line of its file that is left."""
+    if kind == "plausible":
+        equal = "lower(e.text) = lower(p.g_text) AS l, coalesce(e.prefix, '') = coalesce(p.prefix, '') AS x, lower(e.label) = lower(p.g_label) AS n, abs(CAST(e.value AS DOUBLE) - CAST(p.g_value AS DOUBLE)) <= 0.011 AS v, lower(coalesce(e.unit, '')) = lower(coalesce(p.g_unit, '')) AS u"
+        score, taken = "100 * l::INT + CASE WHEN has_x THEN 8 * x::INT ELSE 0 END + 16 * n::INT + 12 * v::INT + 6 * u::INT", "best.l OR best.n OR best.v"
+    else:
+        equal = "e.text = p.g_text AS l, e.prefix IS NOT DISTINCT FROM p.prefix AS x, e.label = p.g_label AS n, e.value = p.g_value AS v, e.unit IS NOT DISTINCT FROM p.g_unit AS u"
+        score, taken = "100 * l::INT + x::INT + 10 * n::INT + 5 * v::INT + 2 * u::INT", "true"
+    return f"""{SQL_LINES},
+pair AS (SELECT e.file_name, e.pos, p.pos AS p_pos, p.g_text AS predicted_text, {equal}, e.prefix IS NOT NULL AS has_x FROM got e JOIN got p ON e.file_name = p.file_name),
+scored AS (SELECT *, {score} AS score FROM pair),
+step AS (
+  SELECT file_name, CAST(0 AS INTEGER) AS pos, CAST([] AS INTEGER[]) AS used, CAST(NULL AS INTEGER) AS p_pos FROM (SELECT DISTINCT file_name FROM got)
+  UNION ALL
+  SELECT file_name, pos, CASE WHEN {taken} THEN list_append(used, best.p_pos) ELSE used END, CASE WHEN {taken} THEN best.p_pos END
+  FROM (
+    SELECT s.file_name, s.pos + 1 AS pos, s.used, arg_max({{'p_pos': c.p_pos, 'l': c.l, 'n': c.n, 'v': c.v}}, c.score * 1000 - c.p_pos) AS best
+    FROM step s JOIN scored c ON c.file_name = s.file_name AND c.pos = s.pos + 1 AND NOT list_contains(s.used, c.p_pos) GROUP BY s.file_name, s.pos, s.used)),
+greedy AS (
+  SELECT e.file_name, e.pos, e.text AS expected_text, c.predicted_text, coalesce(c.l, false) AS line_match, coalesce(c.x, false) AS prefix_match, coalesce(c.n, false) AS label_match,
+    coalesce(c.v, false) AS value_match, coalesce(c.u, false) AS unit_match
+  FROM got e JOIN step s ON e.file_name = s.file_name AND e.pos = s.pos LEFT JOIN pair c ON c.file_name = s.file_name AND c.pos = s.pos AND c.p_pos = s.p_pos)"""
+
+
+@query(f"WITH RECURSIVE {greedy_sql('plausible')} SELECT * FROM greedy")
 def greedy_match(spark, sf_dir):
     return evaluate.greedy_matches(_items(spark, sf_dir, "text"), _items(spark, sf_dir, "pred_text"))
 
 
-@query()
+@query(f"WITH RECURSIVE {greedy_sql('exact')} SELECT * FROM greedy")
 def greedy_match_exact(spark, sf_dir):
     return evaluate.greedy_matches(_items(spark, sf_dir, "text"), _items(spark, sf_dir, "pred_text"), "exact")
 
@@ -306,8 +329,7 @@ def rollout_diff(spark, sf_dir):
 
 @query("SELECT event_type AS engine, count(*) AS n, round(sum(value), 4) AS total_ms, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms FROM events GROUP BY ALL")
 def engine_latency(spark, sf_dir):
-    d = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("engine"))
-    return d.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total_ms"), F.round(F.avg("value"), 6).alias("mean_ms"), F.round(F.percentile("value", 0.95), 6).alias("p95_ms"))
+    return results.latencies(read(spark, sf_dir, "events").select("event_type", "value"), "event_type", "value")
 
 
 @query(f"WITH {SQL_LINES} SELECT engine_name, split, count(*) AS n, count(DISTINCT file_name) AS n_files FROM got GROUP BY ALL")
@@ -329,33 +351,26 @@ def running_accuracy(spark, sf_dir):
 
 @query("SELECT o_orderkey AS file_id, o_orderstatus AS status FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def pending_files(spark, sf_dir):
-    done = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, sf_dir, "orders").join(done, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderstatus").alias("status"))
+    done = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dicom_path"), F.lit(None).cast("string").alias("error"))
+    found = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("status"))
+    return records.pending(found, done, retry_errors=True).select(F.col("path").alias("file_id"), "status")
 
 
 @query("SELECT l_orderkey AS file_id, count(*) AS n_lines FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY ALL")
 def resume_scope(spark, sf_dir):
-    open_ = read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return read(spark, sf_dir, "lineitem").join(open_, "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("file_id")).agg(F.count(F.lit(1)).alias("n_lines"))
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dicom_path"))
+    found = read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("path"))
+    return records.in_scope(items, found).groupBy(F.col("dicom_path").alias("file_id")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 _CHARS = "c AS (SELECT lower(unnest(string_split(regexp_replace(text, '[^A-Za-z]', '', 'g'), ''))) AS label FROM documents), n AS (SELECT label, count(*) AS n FROM c WHERE label <> '' GROUP BY label)"
 
 
-def _chars(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.explode(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), "")).alias("label"))
-    return d.filter("label <> ''").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"WITH {_CHARS}, t AS (SELECT CAST(floor(quantile_cont(n, 0.2)) AS BIGINT) AS target FROM n) SELECT label, n, target, greatest(target - n, 0) AS quota FROM n, t")
 def class_balance(spark, sf_dir):
-    n = _chars(spark, sf_dir)
-    t = n.agg(F.floor(F.percentile("n", 0.2)).alias("target"))  # one row
-    return n.crossJoin(F.broadcast(t)).select("label", "n", "target", F.greatest(F.col("target") - F.col("n"), F.lit(0)).alias("quota"))
+    return results.class_quotas(results.class_counts(read(spark, sf_dir, "documents")))
 
 
 @query(f"WITH {_CHARS} SELECT label, n, round((SELECT max(n) FROM n) / n, 9) AS weight FROM n")
 def class_weights(spark, sf_dir):
-    n = _chars(spark, sf_dir)
-    top = n.agg(F.max("n").alias("top"))  # one row
-    return n.crossJoin(F.broadcast(top)).select("label", "n", F.round(F.col("top") / F.col("n"), 9).alias("weight"))
+    return results.class_weights(results.class_counts(read(spark, sf_dir, "documents")))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calipra.functions.parse import with_parsed
-from calipra.functions.spacing import repaired_lines
 from calipra.functions.text import char_count, name_key
 from calipra.operators import candidates, configs, lexicon, pixels, recover, rerank, results, summaries
 from calipra.plans.catalog import parsed, query
 from calipra.plans.fixtures import SQL_LINES, lines, read
 from calipra.sources import records
+from calipra.sources.scratch import written
 
 
 def readings(spark, sf_dir) -> DataFrame:
@@ -73,12 +73,13 @@ def family_repair(spark, sf_dir):
 @query()
 def panel_rerank(spark, sf_dir):
     lex = rerank.build(lexicon.of_splits(parsed(spark, sf_dir), "train"))
-    return rerank.rerank_panels(rerank.score(readings(spark, sf_dir), lex), lex["transitions"])
+    c = written(rerank.augment(written(readings(spark, sf_dir), "readings"), lex), "candidates")
+    return rerank.rerank_panels(rerank.score(rerank.with_similarity(c, lex), lex), lex["transitions"])
 
 
 @query()
 def blob_recovery(spark, sf_dir):
-    d = lines(spark, sf_dir).filter("split = 'validation'")
+    d = lines(spark, sf_dir)
     b = d.groupBy("file_name").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("t"), F.count(F.lit(1)).cast("int").alias("target_line_count"))
     b = b.select(F.col("file_name").alias("blob_id"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), "target_line_count")
     return recover.recover_lines(b)
@@ -93,13 +94,13 @@ c AS (SELECT vec_id, label, v, list_transform(v, lambda x: x - list_avg(v)) AS c
 u AS (SELECT vec_id, label, v, c, sqrt(list_inner_product(c, c)) AS n FROM c),
 p AS (
   SELECT a.vec_id AS query_id, b.vec_id AS source_id, round(greatest(-1, least(1, list_inner_product(a.c, b.c) / (a.n * b.n))), 6) AS score
-  FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+  FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, source_id))
 SELECT query_id, CASE WHEN reason = '' THEN source_id END AS source_id, score, reason = '' AS matched, reason FROM (
   SELECT *, CASE WHEN score < 0.72 THEN 'score_below_threshold' WHEN score - second < 0.015 THEN 'ambiguous_top_match' ELSE '' END AS reason FROM r WHERE r = 1)""")
 def vector_source_match(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    m = pixels.vector_matches(e.filter("vec_id % 50 = 0"), e, "label", "vec_id", "embedding")
+    m = pixels.vector_matches(e.filter("vec_id % 20 = 0"), e, "label", "vec_id", "embedding")
     return pixels.best_sources(m.withColumn("score", F.round("score", 6)).withColumn("mae", F.lit(0.0)))
 
 
@@ -120,11 +121,18 @@ def panel_text(spark, sf_dir):
     return d.select("patient", "exam", "n_lines", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("combined_text"))
 
 
-@query()
+@query(f"""WITH {SQL_LINES},
+f AS (SELECT left(file_name, length(file_name) - 1) AS patient, CASE WHEN split = 'train' THEN 'a' ELSE 'b' END AS exam, file_name, string_agg(text, '|' ORDER BY text) AS l FROM got GROUP BY file_name, split),
+e AS (SELECT patient, exam, exam || '=' || string_agg(file_name || ':ok:' || l, ';' ORDER BY file_name) AS t FROM f GROUP BY patient, exam)
+SELECT patient, count(*)::INT AS n_exams, string_agg(t, chr(10) ORDER BY exam) AS exams FROM e GROUP BY patient""")
 def nested_predictions(spark, sf_dir):
+    """Patients are runs of ten files, exams their splits; the nested rows are written out as text to be compared."""
     d = lines(spark, sf_dir)
-    items = d.groupBy("file_name", (F.length("file_name") % 3).cast("string").alias("patient")).agg(F.sort_array(F.collect_list("pred_text")).alias("lines"))
-    return records.nested(items.select("patient", F.substring("file_name", 1, 3).alias("exam"), F.col("file_name").alias("dicom_path"), F.lit("ok").alias("status"), "lines"))
+    items = d.groupBy("file_name", "split").agg(F.sort_array(F.collect_list("text")).alias("lines"))
+    n = records.nested(items.select(F.expr("left(file_name, length(file_name) - 1)").alias("patient"), F.when(F.col("split") == "train", "a").otherwise("b").alias("exam"), F.col("file_name").alias("dicom_path"), F.lit("ok").alias("status"), "lines"))
+    dicom = lambda x: F.concat_ws(":", x["dicom_path"], x["status"], F.array_join(x["lines"], "|"))
+    exam = lambda e: F.concat(e["exam"], F.lit("="), F.array_join(F.transform(e["dicoms"], dicom), ";"))
+    return n.select("patient", F.size("exams").alias("n_exams"), F.array_join(F.transform("exams", exam), "\n").alias("exams"))
 
 
 @query(f"WITH {SQL_LINES} SELECT file_name, pos, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS key, CAST(length(replace(text, ' ', '')) AS INTEGER) AS n_chars FROM got")
@@ -153,12 +161,6 @@ def validator_gate(spark, sf_dir):
     return c.select("conv_id", "turn", runs.alias("runs"))
 
 
-@query()
-def spacing_repairs(spark, sf_dir):
-    d = lines(spark, sf_dir).select("file_name", "pos", F.concat(F.lit("1 LVOTVmax 1:20 m / s AV max PG 3 mm Hg "), F.col("text")).alias("text"))
-    return d.select("file_name", "pos", F.explode(repaired_lines(F.col("text"))).alias("line"))
-
-
 # summaries
 
 

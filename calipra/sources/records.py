@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Version and task of label files.
 LABEL_VERSION, LABEL_TASK = 1, "exact_roi_measurement_transcription"
+#: Lines of a label file, which is one record, at most.
+MAX_LABELS = 1_000_000
 LABELS = "version int, task string, files array<struct<file_name:string,file_path:string,split:string,measurements:array<struct<order:string,text:string>>>>"
 SCORES = "file_details array<struct<file_name:string,split:string,matches:array<struct<expected_text:string,predicted_text:string,full_match:boolean,line_match:boolean,label_match:boolean,value_match:boolean,unit_match:boolean,prefix_match:boolean>>>>"
 ITEM = "dicom_path string, status string, measurements array<struct<name:string,value:string,unit:string,source:string>>, line_predictions array<struct<`order`:int,text:string,manual_verify_required:boolean,fallback_trigger_reason:string,line_ocr_count_matches:boolean,review_status:string>>, source struct<dicomid:string,frame:int>, metadata map<string,string>, error struct<type:string,message:string>"
@@ -29,7 +31,9 @@ def read_labels(spark: SparkSession, path: str, strict_order: bool = False) -> D
 
 
 def write_labels(lines: DataFrame, path: str) -> None:
-    """SNK-5's file: one JSON record of all files, sorted by split, name and path. Label files are made by hand and small."""
+    """SNK-5's file: one JSON record of all files, sorted by split, name and path. Label files are made by hand and small: more lines than MAX_LABELS are refused."""
+    if lines.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} lines are no label file")
     m = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: F.struct(x["pos"].cast("string").alias("order"), x["text"].alias("text")))
     files = lines.groupBy("split", "file_name", "file_path").agg(m.alias("measurements"))
     one = files.agg(F.sort_array(F.collect_list(F.struct("split", "file_name", "file_path", "measurements"))).alias("files"))
@@ -58,9 +62,16 @@ def read_failures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-16 to SRC-18: batch items of a checkpoint, one JSON object a line; lines that are no JSON are left out."""
-    d = spark.read.schema(ITEM + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
-    return d.filter("_corrupt is null").drop("_corrupt").filter("dicom_path is not null")
+    """SRC-16 to SRC-18: batch items of a checkpoint, one JSON object a line. A line that is no JSON is read with its backslashes doubled; what is none then is left out."""
+    read = lambda c: F.from_json(c, ITEM + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    d = spark.read.text(path).select(read(F.col("value")).alias("x"), "value")
+    twice = F.when(F.col("x._corrupt").isNotNull(), read(F.replace("value", F.lit("\\"), F.lit("\\\\")))).otherwise(F.col("x"))
+    return d.select(twice.alias("x")).filter("x._corrupt is null").select("x.*").drop("_corrupt").filter("dicom_path is not null")
+
+
+def append_items(items: DataFrame, path: str) -> None:
+    """SNK-4: adds a batch of items to a checkpoint, one JSON object a line; read_items() reads all batches."""
+    items.write.mode("append").json(path)
 
 
 def pending(files: DataFrame, done: DataFrame, retry_errors: bool = False) -> DataFrame:
@@ -69,6 +80,11 @@ def pending(files: DataFrame, done: DataFrame, retry_errors: bool = False) -> Da
     return files.join(kept.select(F.col("dicom_path").alias("path")), "path", "left_anti")
 
 
+def in_scope(items: DataFrame, files: DataFrame) -> DataFrame:
+    """JON-11: items of a checkpoint whose file was found again."""
+    return items.join(files.select(F.col("path").alias("dicom_path")), "dicom_path", "left_semi")
+
+
 def normal_lines(lines: Column) -> Column:
     """FLT-19: lines with text, numbered from 1 where they have no order."""
     numbered = F.transform(lines, lambda x, i: F.struct(F.coalesce(x["order"], i + 1).alias("order"), F.trim(x["text"]).alias("text")))
@@ -102,12 +118,12 @@ def append_log(spark: SparkSession, path: str, **entry: object) -> None:
 
 
 def loose_json(text: Column) -> Column:
-    """JSN-1 and JSN-2: rows (order, name, value, unit) of the outermost array in a text, else of the outermost object's measurements, else none."""
+    """JSN-1 and JSN-2: rows (order, name, value, unit) of the outermost array in a text, else of the outermost object's measurements, else none. What is no row is left out."""
     row = "struct<`order`:int,name:string,value:string,unit:string>"
     array = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
     single = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    found = F.coalesce(F.from_json(F.nullif(array, F.lit("")), f"array<{row}>"), F.from_json(F.nullif(single, F.lit("")), f"struct<measurements:array<{row}>>")["measurements"], F.array().cast(f"array<{row}>"))
-    return F.filter(found, lambda r: r["name"].isNotNull() | r["value"].isNotNull())
+    each = F.coalesce(F.from_json(F.nullif(array, F.lit("")), "array<string>"), F.from_json(F.nullif(single, F.lit("")), "struct<measurements:array<string>>")["measurements"], F.array().cast("array<string>"))
+    return F.filter(F.transform(each, lambda x: F.from_json(x, row)), lambda r: r["name"].isNotNull() | r["value"].isNotNull())
 
 
 def reply_measurements(text: Column) -> Column:

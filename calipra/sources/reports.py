@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calipra.functions.parse import parse_canonical
-from calipra.functions.text import canonical_line, let, lookup, normalize_space
+from calipra.functions.parse import with_parsed
+from calipra.functions.text import let, lookup, normalize_space
 
 # Units as reports write them.
 REPORT_UNITS = {
@@ -47,7 +47,8 @@ def walk(reports: DataFrame, key: str = "path", content: str = "content", depth:
 def measurements(items: DataFrame, key: str = "path") -> DataFrame:
     """SRC-21, SRC-28: key, order_path, name, value, unit, confidence: numeric items, and text items that parse; a file's texts only where it has no numbers."""
     number = items.filter(F.upper("value_type") == "NUM").select(key, "order_path", normalize_space(F.col("concept")).alias("name"), F.trim("numeric_value").alias("value"), report_unit(F.col("unit_code")).alias("unit"), F.lit(NUMERIC).alias("confidence")).filter("name <> '' and value <> ''")
-    text = items.filter(F.upper("value_type") == "TEXT").withColumn("p", parse_canonical(canonical_line(F.concat_ws(" ", "concept", "text")))).filter("p.is_measurement")
+    text = items.filter(F.upper("value_type") == "TEXT").withColumn("line", F.concat_ws(" ", "concept", "text"))
+    text = with_parsed(text, "line", "p").filter("p.is_measurement")
     text = text.select(key, "order_path", F.col("p.display_name").alias("name"), F.col("p.value").alias("value"), F.col("p.unit").alias("unit"), F.lit(TEXTUAL).alias("confidence"))
     return number.unionByName(text.join(number.select(key).distinct(), key, "left_anti"))
 

@@ -12,7 +12,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from calipra.plans import catalog, catalog_more  # noqa: F401
+from calipra.plans import catalog, catalog_cases, catalog_files, catalog_lines, catalog_more, catalog_runs  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,9 +48,13 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
+#: In a copy without the optional folder, one query runs from end to end.
+_ONE = f"from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); assert q['decoder_cases'](s, '{SF}').count() > 0"
+
+
 def test_without_the_optional_folder(tmp_path):
     root = Path(entry.__file__).resolve().parent
     shutil.copytree(root / "calipra", tmp_path / "calipra", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q); " + _ONE
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
