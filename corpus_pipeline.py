@@ -1,4 +1,8 @@
-"""From raw documents to token ids: each stage works on all that the one before it kept, and its decisions take effect."""
+"""From raw documents to token ids: each stage works on all that the one before it kept, and its decisions take effect.
+
+Rows with null or empty texts, or null ids, are clean: they pass all stages, and have no ids. Rows that repeat stay or go
+together; of columns, those of documents go on. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calipra.llm.bpe import bpe_round_trip
-from calipra.llm.common import new_path
+from calipra.llm.common import delete, new_path, released
 from calipra.llm.decontam import drop_contaminated
 from calipra.llm.line_dedup import line_dedup
 from calipra.llm.near_dup import drop_near_dups
@@ -46,12 +50,18 @@ STAGES = [("toxicity", toxicity), ("line dedup", lines), ("near-dedup", near_dup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what a stage returns is written in the shared folder and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents; what a stage returns is written in the shared folder and read again for the next.
+
+    Once it is written, the tables that the stage made on its way, and the result of the one before, are deleted.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with released(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -57,6 +58,21 @@ def test_stages(spark, tmp_path):
     assert {tuple(r) for r in corpus_pipeline.run(spark, path).collect()} == {tuple(r) for r in out.values()}
 
 
+def test_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and other columns pass all stages; so do empty tables."""
+    for name, docs in (("odd", odd), ("none", none)):
+        path = f"file://{tmp_path}/{name}"
+        docs.write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog shared line of text"), (None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, path).collect()
+        if name == "none":
+            assert not out
+        else:  # 7 is a copy of 1, whose rows hold a benchmark's window
+            assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in odd.collect() if r.doc_id not in (1, 7))
+            assert all(r.n_tokens == 0 for r in out if r.doc_id in (2, 3))
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES) and 4 <= len(corpus_pipeline.STAGES) <= 5
