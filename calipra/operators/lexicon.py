@@ -96,3 +96,18 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
     names = sorted(f.getPath().getName().removeprefix("table=") for f in found if f.getPath().getName().startswith("table="))
     return {n: spark.read.parquet(f"{path}/table={n}") for n in names}
+
+
+class Cached:
+    """STM-5: a saved lexicon, loaded when asked for and again only when its files have changed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.stamp, self.tables = spark, path, None, {}
+
+    def get(self) -> dict[str, DataFrame]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        stamp = max(((f.getModificationTime(), f.getPath().getName()) for f in fs.listStatus(root)), default=None)
+        if stamp != self.stamp:
+            self.stamp, self.tables = stamp, load(self.spark, self.path)
+        return self.tables

@@ -186,3 +186,19 @@ def order_alignment(a: list, b: list, score, skip: float = 0.0) -> list[tuple[in
         i, j = i - (s != "b"), j - (s != "a")
         out.append((i if s != "b" else None, j if s != "a" else None))
     return out[::-1]
+
+
+def rows_of_boxes(boxes: list[tuple[int, int, int, int]], gap: int = 2, by_centre: bool = True) -> list[list[tuple[int, int, int, int]]]:
+    """WIN-10: boxes (x, y, w, h) in rows, from top to bottom: each joins the first row whose extent, widened by gap, holds its centre (or comes as near as gap to its own extent); else it begins one."""
+    rows: list[list[tuple[int, int, int, int]]] = []
+    extents: list[tuple[int, int]] = []
+    for box in sorted((b for b in boxes if b[2] > 0 and b[3] > 0), key=lambda b: (b[1], b[0])):
+        low, high = (box[1] + box[3] / 2,) * 2 if by_centre else (box[1], box[1] + box[3])
+        at = next((i for i, (top, end) in enumerate(extents) if top - gap <= high and low <= end + gap), None)
+        if at is None:
+            rows.append([box])
+            extents.append((box[1], box[1] + box[3]))
+        else:
+            rows[at].append(box)
+            extents[at] = min(extents[at][0], box[1]), max(extents[at][1], box[1] + box[3])
+    return rows

@@ -8,9 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calipra.functions.parse import parse_canonical
+from calipra.functions.parse import with_parsed
 from calipra.functions.text import canonical_line, has
+from calipra.sources.scratch import written
 
+#: Tokens of the spans that are made first.
+NEAR = 12
 _UNITISH = r"^(%|mmhg|cm/s|m/s|cm|mm|ms|s|bpm|ml/m2|cm2|ml|m/s2)$"
 
 
@@ -19,26 +22,38 @@ def starts_label(token: Column) -> Column:
     return ~has(token, _UNITISH, "iU") & (token.rlike(r"^\d+$") | has(token, r"\p{L}"))
 
 
-def spans(blobs: DataFrame, key: str = "blob_id", text: str = "text") -> DataFrame:
-    """A row for each blob: its tokens, which of them begin a label, and (start, end, canonical, parsed) of each span, all made by built-in expressions. Spans grow with the square of a blob's tokens, as any of them may be a line."""
+def spans(blobs: DataFrame, key: str = "blob_id", text: str = "text", near: int | None = None) -> DataFrame:
+    """A row for each blob: its tokens, which of them begin a label, and (start, end, canonical, parsed) of each span, all made by built-in expressions.
+
+    Spans grow with the square of a blob's tokens, as any of them may be a line. With near, only those of so many tokens that begin and
+    end where a label begins, or the blob does.
+    """
     d = blobs.select(key, F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "").alias("tokens")).filter(F.size("tokens") > 0)
-    d = d.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)))
-    d = d.withColumn("end", F.explode(F.sequence(F.col("start") + 1, F.size("tokens"))))
-    d = d.withColumn("canonical", canonical_line(F.array_join(F.slice("tokens", F.col("start") + 1, F.col("end") - F.col("start")), " "))).withColumn("p", parse_canonical(F.col("canonical")))
+    d = d.withColumn("starts", F.transform("tokens", starts_label))
+    size = F.size("tokens")
+    d = d.withColumn("start", F.explode(F.sequence(F.lit(0), size - 1)))
+    if near:
+        d = d.filter((F.col("start") == 0) | F.get("starts", F.col("start")))
+    d = d.withColumn("end", F.explode(F.sequence(F.col("start") + 1, F.least(size, F.col("start") + near) if near else size)))
+    if near:
+        d = d.filter((F.col("end") == size) | F.get("starts", F.col("end")))
+    d = with_parsed(d.withColumn("line", F.array_join(F.slice("tokens", F.col("start") + 1, F.col("end") - F.col("start")), " ")), "line", "p")
     part = F.struct("start", "end", "canonical", F.col("p.label").isNotNull().alias("label"), F.col("p.value").isNotNull().alias("value"), F.col("p.unit").isNotNull().alias("unit"), F.col("p.prefix").isNotNull().alias("prefix"), F.col("p.confidence").alias("syntax"), has(F.col("canonical"), r"\p{L}").alias("letters"), has(F.col("canonical"), r"\d").alias("digits"))
-    out = d.groupBy(key, "tokens").agg(F.collect_list(part).alias("spans"))
-    return out.withColumn("starts", F.transform("tokens", starts_label))
+    return d.groupBy(key, "tokens", "starts").agg(F.collect_list(part).alias("spans"))
 
 
-def _split_at_units(n: int, is_start: list[bool], is_int: list[bool], span: dict) -> list[tuple[int, int]]:
-    """STR-36: a line ends where it has label and value and the next token can begin one, if it has a unit or the next is an integer."""
+def _split_at_units(n: int, is_start: list[bool], is_int: list[bool], span: dict) -> list[tuple[int, int]] | None:
+    """STR-36: a line ends where it has label and value and the next token can begin one, if it has a unit or the next is an integer. None if a span that is asked for isn't there."""
     out, start = [], 0
     for i in range(1, n):
-        s = span.get((start, i))
-        if s and s["label"] and s["value"] and is_start[i] and (s["unit"] or is_int[i]):
-            out.append((start, i))
-            start = i
-    return [*out, (start, n)]
+        if is_start[i]:
+            s = span.get((start, i))
+            if s is None:
+                return None
+            if s["label"] and s["value"] and (s["unit"] or is_int[i]):
+                out.append((start, i))
+                start = i
+    return [*out, (start, n)] if (start, n) in span else None
 
 
 def _score(s: dict, expected: float, most: int, inner: int, last: bool) -> float:
@@ -73,7 +88,8 @@ def _segment(n: int, count: int, span: dict, ints: list[int]) -> tuple[float, li
 def recover_lines(blobs: DataFrame, key: str = "blob_id", text: str = "text", target: str = "target_line_count") -> DataFrame:
     """STR-35: key, lines, source. Lines that the text has are kept; else it is cut at units, else by the best average score of up to target lines.
 
-    Spans are canonicalised and parsed by built-in expressions; Python only runs the recurrence.
+    Spans are canonicalised and parsed by built-in expressions; Python only runs the recurrence. Most blobs are cut at units by a few
+    short spans, which are made first; all spans are made of those that are not.
     """
     kind = blobs.schema[key].dataType.simpleString()
     own = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical_line), lambda x: x != "")
@@ -81,22 +97,32 @@ def recover_lines(blobs: DataFrame, key: str = "blob_id", text: str = "text", ta
     plain = (F.col("target") <= 0) | ((F.size("own") == F.col("target")) & (F.size("own") > 0))
     given = d.filter(plain | (F.size("own") >= 2)).select(key, F.col("own").alias("lines"), F.when(plain, "raw_newlines").otherwise("raw_newlines_relaxed").alias("source"))
     rest = d.filter(~(plain | (F.size("own") >= 2)))
-    made = spans(rest, key, "text").join(rest.select(key, "target", "own"), key)
+
+    def cut_of(b: dict) -> tuple[list[str], dict]:
+        span = {(s["start"], s["end"]): s for s in b["spans"]}
+        ranges = _split_at_units(len(b["tokens"]), b["starts"], [t.isdigit() for t in b["tokens"]], span) or []
+        return [c for c in (span[r]["canonical"] for r in ranges) if c], span
+
+    def batch_of(out: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.list_(pa.string())), pa.array(cols[2], pa.string())], names=[key, "lines", "source"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch_of([(b[key], lines, "unit_boundary_split") for b in batch.to_pylist() if len(lines := cut_of(b)[0]) > 1], batch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for b in batch.to_pylist():
                 tokens, n = b["tokens"], len(b["tokens"])
-                span = {(s["start"], s["end"]): s for s in b["spans"]}
-                is_int = [t.isdigit() for t in tokens]
-                ints = [0]
-                for x in is_int:
-                    ints.append(ints[-1] + x)
-                cut = [c for c in ((span.get(r) or {"canonical": ""})["canonical"] for r in _split_at_units(n, b["starts"], is_int, span)) if c]
-                if len(cut) > 1:
-                    out.append((b[key], cut, "unit_boundary_split"))
+                lines, span = cut_of(b)
+                if len(lines) > 1:
+                    out.append((b[key], lines, "unit_boundary_split"))
                     continue
+                ints = [0]
+                for t in tokens:
+                    ints.append(ints[-1] + t.isdigit())
                 best = None
                 for count in range(1, min(b["target"], n) + 1):
                     found = _segment(n, count, span, ints)
@@ -111,9 +137,13 @@ def recover_lines(blobs: DataFrame, key: str = "blob_id", text: str = "text", ta
                     out.append((b[key], [span[r]["canonical"] for r in best[1]], "dp_token_segmentation"))
                 else:
                     out.append((b[key], b["own"], "fallback_raw_text"))
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.list_(pa.string())), pa.array(cols[2], pa.string())], names=[key, "lines", "source"])
-
-    done = made.select(key, "tokens", "spans", "starts", "target", "own").mapInArrow(run, f"{key} {kind}, lines array<string>, source string")
-    none = rest.join(made.select(key), key, "left_anti").select(key, F.col("own").alias("lines"), F.lit("fallback_raw_text").alias("source"))
-    return given.unionByName(done).unionByName(none)
+            yield batch_of(out, batch)
+
+    schema = f"{key} {kind}, lines array<string>, source string"
+    quick = written(spans(rest, key, "text", NEAR).select(key, "tokens", "starts", "spans").mapInArrow(cut, schema), "cut-blobs")
+    left = rest.join(quick.select(key), key, "left_anti")
+    made = spans(left, key, "text").join(left.select(key, "target", "own"), key)
+    done = made.select(key, "tokens", "spans", "starts", "target", "own").mapInArrow(run, schema)
+    blank = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "") == ""
+    none = left.filter(blank).select(key, F.col("own").alias("lines"), F.lit("fallback_raw_text").alias("source"))
+    return given.unionByName(quick).unionByName(done).unionByName(none)

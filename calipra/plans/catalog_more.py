@@ -56,7 +56,13 @@ def range_test(spark, sf_dir):
     return j.select("file_name", "pos", F.col("parsed.value").alias("value"), rerank.in_range(F.col("parsed.value").cast("double"), F.col("min_value"), F.col("max_value"), F.col("mean_value")).alias("in_range"))
 
 
-@query()
+@query(f"""WITH {SQL_LINES},
+s AS (SELECT lower(label) AS family, min(CAST(value AS DOUBLE)) AS lo, max(CAST(value AS DOUBLE)) AS hi, avg(CAST(value AS DOUBLE)) AS mean FROM got WHERE split = 'train' GROUP BY ALL),
+v AS (SELECT file_name, pos, g_value AS value, CAST(g_value AS DOUBLE) AS x, greatest(0, lo * 0.75) AS a, greatest(hi * 1.25, mean * 1.25) AS b FROM got JOIN s ON lower(label) = family),
+r AS (
+  SELECT file_name, pos, value, CASE WHEN x NOT BETWEEN a AND b AND x * 0.1 BETWEEN a AND b THEN x * 0.1 WHEN x NOT BETWEEN a AND b AND x * 10.0 BETWEEN a AND b THEN x * 10.0
+    WHEN regexp_matches(value, '^1[^.]') AND CAST(substr(value, 2) AS DOUBLE) BETWEEN a AND b THEN CAST(substr(value, 2) AS DOUBLE) END AS y FROM v)
+SELECT file_name, pos, value, regexp_replace(printf('%.1f', y), '\\.?0+$', '') AS repaired FROM r WHERE y IS NOT NULL""")
 def value_repairs(spark, sf_dir):
     d = parsed(spark, sf_dir, "pred_text")
     s = lexicon.value_stats(lexicon.of_splits(parsed(spark, sf_dir), "train"))
@@ -77,12 +83,12 @@ def panel_rerank(spark, sf_dir):
     return rerank.rerank_panels(rerank.score(rerank.with_similarity(c, lex), lex), lex["transitions"])
 
 
-@query()
+@query(f"WITH {SQL_LINES} SELECT file_name AS blob_id, string_agg(text, chr(10) ORDER BY pos) AS lines, CASE WHEN count(*) = 1 THEN 'raw_newlines' ELSE 'unit_boundary_split' END AS source FROM got GROUP BY file_name")
 def blob_recovery(spark, sf_dir):
     d = lines(spark, sf_dir)
     b = d.groupBy("file_name").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("t"), F.count(F.lit(1)).cast("int").alias("target_line_count"))
     b = b.select(F.col("file_name").alias("blob_id"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), "target_line_count")
-    return recover.recover_lines(b)
+    return recover.recover_lines(b).select("blob_id", F.array_join("lines", "\n").alias("lines"), "source")
 
 
 # vectors, batches, configurations

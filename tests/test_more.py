@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from calipra.functions.parse import with_parsed
-from calipra.operators import assembly, lexicon, rerank, results
+from calipra.operators import assembly, lexicon, pixels, rerank, results
 from calipra.sources import records
 
 
@@ -50,6 +50,23 @@ def test_lexicon_saved_and_loaded(spark, panels, tmp_path):
     assert sorted(map(tuple, lexicon.load(spark, f"file://{tmp_path}/lex")["units"].collect())) == sorted(map(tuple, panels[0]["units"].collect()))
 
 
+def test_a_cached_lexicon_is_loaded_again_when_it_changes(spark, panels, tmp_path):
+    path = f"file://{tmp_path}/lex"
+    lexicon.save({"units": panels[0]["units"]}, path)
+    cached = lexicon.Cached(spark, path)
+    first = cached.get()
+    assert cached.get() is first and set(first) == {"units"}
+    lexicon.save({"families": panels[0]["families"]}, path)
+    assert set(cached.get()) == {"families", "units"}
+
+
+def test_boxes_in_rows():
+    boxes = [(50, 1, 5, 8), (0, 0, 10, 10), (0, 30, 10, 10), (20, 12, 5, 4), (0, 5, 0, 3)]
+    assert pixels.rows_of_boxes(boxes) == [[(0, 0, 10, 10), (50, 1, 5, 8)], [(20, 12, 5, 4)], [(0, 30, 10, 10)]]
+    assert pixels.rows_of_boxes(boxes, by_centre=False) == [[(0, 0, 10, 10), (50, 1, 5, 8), (20, 12, 5, 4)], [(0, 30, 10, 10)]]
+    assert pixels.rows_of_boxes([]) == []
+
+
 def test_label_files_are_small(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(records, "MAX_LABELS", 3)
     d = spark.range(4).select(F.lit("f").alias("file_name"), F.lit("p").alias("file_path"), F.lit("train").alias("split"), F.col("id").alias("pos"), F.lit("x").alias("text"))
