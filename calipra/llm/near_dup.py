@@ -222,8 +222,8 @@ def _near(ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sides: np.ndar
                         yield i, js[near], bits[near]
 
 
-def _compare(nearest: bool):
-    """Over rows (bucket, lo, hi, side, node, n, c, bits), grouped by the first three: the pairs that bounds leave; if nearest, some for each member, with how many there are."""
+def _compare(nearest: bool, few: int):
+    """Over rows (bucket, lo, hi, side, node, n, c, bits), grouped by the first three: the pairs that bounds leave, with k 0; if nearest, and there are more than few a member, some for each member, with how many there are as k."""
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
         side, node, n, c, bits = zip(*rows, strict=True)
@@ -235,11 +235,15 @@ def _compare(nearest: bool):
         if not nearest:
             for i, js, d in found:
                 for j, x in zip(js.tolist(), d.tolist(), strict=True):
-                    yield int(max(node[i], node[j])), int(min(node[i], node[j])), x, 1
+                    yield int(max(node[i], node[j])), int(min(node[i], node[j])), x, 0
             return
+        every: list[tuple[int, int, int, int]] | None = []
         best: dict[int, list[tuple[int, int]]] = {}
         count: dict[int, int] = {}
         for i, js, d in found:
+            if every is not None:
+                every += [(int(max(node[i], node[j])), int(min(node[i], node[j])), x, 0) for j, x in zip(js.tolist(), d.tolist(), strict=True)]
+                every = every if len(every) <= few * len(rows) else None
             for j, x in zip(js.tolist(), d.tolist(), strict=True):
                 for p, q in ((i, j), (j, i)):
                     own = best.setdefault(p, [])
@@ -248,6 +252,9 @@ def _compare(nearest: bool):
                         own.sort()
                         del own[NEAREST:]
             count[i] = count.get(i, 0) + len(js)
+        if every is not None:
+            yield from every
+            return
         for p, own in best.items():
             for k, (x, q) in enumerate(sorted(own)[:NEAREST]):
                 yield int(node[p]), q, x, count.get(p, 0) if k == 0 else 0
@@ -278,7 +285,7 @@ def _meet(members: DataFrame, nearest: bool) -> DataFrame:
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     rows = rows.select("bucket", lo.alias("lo"), hi.alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "c", "bits")
     rows = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return rows.mapInArrow(_compare(nearest), "doc long, hub long, d long, k long")
+    return rows.mapInArrow(_compare(nearest, FEW), "doc long, hub long, d long, k long")
 
 
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,6 +371,11 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
                 break
             near = near.groupBy("doc", "hub").agg(F.min("d").alias("d"), F.max("k").alias("k"))
             left, n_docs = near.agg(F.sum("k"), F.countDistinct("doc")).first()
+            if not left:  # these are all pairs
+                pairs = materialize(near.select("doc", "hub").join(again, ["doc", "hub"], "left_anti"), "pairs")
+                if not pairs.isEmpty():
+                    confirm(pairs)
+                break
             one = near.join(again, ["doc", "hub"], "left_anti").groupBy("doc").agg(F.min(F.struct("d", "hub")).alias("x"))
             one = one.select(F.greatest("doc", "x.hub").alias("doc"), F.least("doc", "x.hub").alias("hub")).distinct()
             if left > FEW * n_docs and GAIN * confirm(materialize(one, "pairs")) >= n_docs:
