@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Version and task of label files.
 LABEL_VERSION, LABEL_TASK = 1, "exact_roi_measurement_transcription"
-#: Lines of a label file, which is one record, at most.
-MAX_LABELS = 1_000_000
+#: Lines of a label file, which is one record, at most; and so many are aimed at where there are several.
+MAX_LABELS, LABELS_A_FILE = 1_000_000, 50_000
 LABELS = "version int, task string, files array<struct<file_name:string,file_path:string,split:string,measurements:array<struct<order:string,text:string>>>>"
 SCORES = "file_details array<struct<file_name:string,split:string,matches:array<struct<expected_text:string,predicted_text:string,full_match:boolean,line_match:boolean,label_match:boolean,value_match:boolean,unit_match:boolean,prefix_match:boolean>>>>"
 ITEM = "dicom_path string, status string, measurements array<struct<name:string,value:string,unit:string,source:string>>, line_predictions array<struct<`order`:int,text:string,manual_verify_required:boolean,fallback_trigger_reason:string,line_ocr_count_matches:boolean,review_status:string>>, source struct<dicomid:string,frame:int>, metadata map<string,string>, error struct<type:string,message:string>"
@@ -31,13 +31,22 @@ def read_labels(spark: SparkSession, path: str, strict_order: bool = False) -> D
 
 
 def write_labels(lines: DataFrame, path: str) -> None:
-    """SNK-5's file: one JSON record of all files, sorted by split, name and path. Label files are made by hand and small: more lines than MAX_LABELS are refused."""
-    if lines.limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} lines are no label file")
+    """SNK-5's file: one JSON record of all files, sorted by split, name and path. More lines than MAX_LABELS are several such records, each of a range of files.
+
+    read_labels() reads them all. A file of more lines than MAX_LABELS by itself is refused, as it fits no record.
+    """
+    by = ("split", "file_name", "file_path")
+    n, most = lines.groupBy(*by).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if most > MAX_LABELS:
+        raise ValueError(f"a file of more than {MAX_LABELS} lines fits no label file")
     m = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: F.struct(x["pos"].cast("string").alias("order"), x["text"].alias("text")))
-    files = lines.groupBy("split", "file_name", "file_path").agg(m.alias("measurements"))
-    one = files.agg(F.sort_array(F.collect_list(F.struct("split", "file_name", "file_path", "measurements"))).alias("files"))
-    one.select(F.lit(LABEL_VERSION).alias("version"), F.lit(LABEL_TASK).alias("task"), "files").coalesce(1).write.mode("overwrite").json(path)
+    record = F.sort_array(F.collect_list(F.struct(*by, "measurements"))).alias("files")
+    if n <= MAX_LABELS:
+        records = lines.groupBy(*by).agg(m.alias("measurements")).agg(record).coalesce(1)
+    else:
+        ranges = lines.repartitionByRange(n // min(LABELS_A_FILE, MAX_LABELS) + 1, *by)  # a file's lines are in one range
+        records = ranges.groupBy(F.spark_partition_id().alias("part"), *by).agg(m.alias("measurements")).groupBy("part").agg(record)
+    records.select(F.lit(LABEL_VERSION).alias("version"), F.lit(LABEL_TASK).alias("task"), "files").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "file_path", version: str = "version") -> DataFrame:

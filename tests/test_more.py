@@ -74,6 +74,16 @@ def test_label_files_are_small(spark, monkeypatch, tmp_path):
         records.write_labels(d, f"file://{tmp_path}/labels")
 
 
+def test_many_labels_are_several_label_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(records, "MAX_LABELS", 30)
+    path, k = f"file://{tmp_path}/labels", F.col("id").cast("string")
+    d = spark.range(200).select(F.concat(F.lit("f"), k).alias("file_name"), F.concat(F.lit("/d/"), k).alias("file_path"), F.lit("train").alias("split"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("pos"), k.alias("text"))
+    records.write_labels(d, path)
+    got = records.read_labels(spark, path, strict_order=True).select("file_name", "file_path", "pos", "line_order", "text").collect()
+    assert sorted(map(tuple, got)) == sorted((f"f{i}", f"/d/{i}", pos, pos, str(i)) for i in range(200) for pos in (1, 2))
+    assert len(list((tmp_path / "labels").glob("*.json"))) > 5
+
+
 def test_frame_limits_and_slices(spark):
     d = spark.createDataFrame([(i,) for i in range(5)], "frame_index int")
     assert assembly.first_frames(d, None, None, 2).count() == 2 and assembly.first_frames(d, 0, 3).count() == 5
