@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,13 +57,17 @@ def reroot(path: Column, roots: dict[str, str]) -> Column:
 def match_labels(labels: DataFrame, files: DataFrame) -> DataFrame:
     """SRC-26, JON-17: each label path with the file of the same name whose path has the longest tail in common; null where no file has the name.
 
-    A join by name; of a name's files, the best is an aggregate.
+    Of each tail that files have, one aggregate keeps the first path; a label meets its own tails, and the longest that is there wins.
+    So labels and files of one name, however many, form no pairs.
     """
-    parts = lambda c: F.reverse(F.split(F.regexp_replace(c, r"\\", "/"), "/"))
-    a = labels.select(F.col("path").alias("label_path")).distinct().withColumn("name", F.element_at(parts(F.col("label_path")), 1))
-    b = files.select(F.col("path").alias("file_path")).distinct().withColumn("name", F.element_at(parts(F.col("file_path")), 1))
-    zipped = F.arrays_zip(parts(F.col("label_path")).alias("l"), parts(F.col("file_path")).alias("f"))
-    tail = F.aggregate(zipped, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda acc, z: F.struct((acc["n"] + F.when(acc["on"] & (z["l"] == z["f"]), 1).otherwise(0)).alias("n"), (acc["on"] & F.coalesce(z["l"] == z["f"], F.lit(False))).alias("on")))["n"]
-    pairs = a.join(b, "name", "left").withColumn("tail", F.when(F.col("file_path").isNotNull(), tail).otherwise(-1))
-    best = F.row_number().over(Window.partitionBy("label_path").orderBy(F.desc("tail"), "file_path"))
-    return pairs.withColumn("r", best).filter("r = 1").select("label_path", "file_path")
+
+    def tails(d: DataFrame, path: str) -> DataFrame:
+        p = F.split(F.regexp_replace(path, r"\\", "/"), "/")
+        n = F.size(p)
+        return d.select(path, F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(k.alias("n"), F.array_join(F.slice(p, n - k + 1, k), "/").alias("tail")))).alias("t")).select(path, "t.*")
+
+    a = labels.select(F.col("path").alias("label_path")).distinct()
+    b = files.select(F.col("path").alias("file_path")).filter("file_path is not null").distinct()
+    first = tails(b, "file_path").groupBy("tail").agg(F.min("file_path").alias("file_path"))  # a tail's parts are those between its slashes
+    best = tails(a.filter("label_path is not null"), "label_path").join(first, "tail").groupBy("label_path").agg(F.max_by("file_path", "n").alias("file_path"))
+    return a.join(best, "label_path", "left").select("label_path", "file_path")

@@ -111,6 +111,17 @@ def test_equal_lines_that_read_differently_stay_apart(spark, tmp_path):
     assert _differs(spark, tmp_path, "union_of_scores", same, [(9, "bolt", 3), (2, "ring", 3), (7, "ring", 3)]) is None
 
 
+def test_the_longest_tail_needs_no_pairs(spark):
+    labels = [f"/old/c{i}/n.dcm" for i in range(20)] + ["/old/c1/m.dcm", "x\\c2\\n.dcm", "n.dcm", "/dcm", "", "none", None, "/new/c3/n.dcm"]
+    paths = [f"/new/c{i}/n.dcm" for i in range(0, 20, 2)] + ["/new/c3/n.dcm", "D:\\c4\\n.dcm", "a/", None]
+    table = lambda rows: spark.createDataFrame([(r,) for r in rows], "path string")
+    parts = lambda p: p.replace("\\", "/").split("/")[::-1]
+    tail = lambda a, b: next((i for i, (x, y) in enumerate(zip(parts(a), parts(b), strict=False)) if x != y), min(len(parts(a)), len(parts(b))))
+    want = {p: min((q for q in paths if p is not None and q is not None and tail(p, q)), key=lambda q: (-tail(p, q), q), default=None) for p in labels}
+    made = files.match_labels(table(labels), table(paths))
+    assert {r.label_path: r.file_path for r in made.collect()} == want and made.count() == len(want)
+
+
 def test_frame_limits_and_slices(spark):
     d = spark.createDataFrame([(i,) for i in range(5)], "frame_index int")
     assert assembly.first_frames(d, None, None, 2).count() == 2 and assembly.first_frames(d, 0, 3).count() == 5
