@@ -12,9 +12,6 @@ from calipra.plans.fixtures import SQL_LINES, lines, read
 from calipra.sources import files, records
 from calipra.sources.scratch import scratch_path
 
-#: Records of a kind that is one record a file are written as so many files.
-PARTS = 8
-
 
 @query(f"WITH {SQL_LINES} SELECT '/d/' || file_name AS file_path, file_name, split, CAST(row_number() OVER (PARTITION BY file_name ORDER BY pos) AS INTEGER) AS pos, CAST(pos AS INTEGER) AS line_order, text FROM got")
 def labels_round_trip(spark, sf_dir):
@@ -29,9 +26,8 @@ def scores_round_trip(spark, sf_dir):
     c = F.col("corruption")
     m = F.struct("pos", F.struct(F.col("text").alias("expected_text"), F.col("pred_text").alias("predicted_text"), (c > 4).alias("full_match"), (c > 4).alias("line_match")).alias("m"))
     f = lines(spark, sf_dir).groupBy("file_name", "split").agg(F.sort_array(F.collect_list(m)).alias("m"))
-    f = f.select(F.pmod(F.xxhash64("file_name"), F.lit(PARTS)).alias("part"), F.struct("file_name", "split", F.transform("m", lambda x: x["m"]).alias("matches")).alias("d"))
     path = scratch_path(spark, "scores")
-    f.groupBy("part").agg(F.collect_list("d").alias("file_details")).drop("part").write.option("maxRecordsPerFile", 1).json(path)
+    records.write_scores(f.select("file_name", "split", F.transform("m", lambda x: x["m"]).alias("matches")), path)
     return records.read_scores(spark, path).select("file_name", "split", "line_index", "expected_text", "full_match")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 LABEL_VERSION, LABEL_TASK = 1, "exact_roi_measurement_transcription"
 #: Lines of a label file, which is one record, at most; and so many are aimed at where there are several.
 MAX_LABELS, LABELS_A_FILE = 1_000_000, 50_000
+#: Matches of a score file, which is one record.
+SCORES_A_FILE = 20_000
 LABELS = "version int, task string, files array<struct<file_name:string,file_path:string,split:string,measurements:array<struct<order:string,text:string>>>>"
 SCORES = "file_details array<struct<file_name:string,split:string,matches:array<struct<expected_text:string,predicted_text:string,full_match:boolean,line_match:boolean,label_match:boolean,value_match:boolean,unit_match:boolean,prefix_match:boolean>>>>"
 ITEM = "dicom_path string, status string, measurements array<struct<name:string,value:string,unit:string,source:string>>, line_predictions array<struct<`order`:int,text:string,manual_verify_required:boolean,fallback_trigger_reason:string,line_ocr_count_matches:boolean,review_status:string>>, source struct<dicomid:string,frame:int>, metadata map<string,string>, error struct<type:string,message:string>"
@@ -56,6 +58,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "file_path", version: str
     return both.withColumn("r", latest).filter("r = 1").drop("r")
 
 
+def write_scores(files: DataFrame, path: str) -> None:
+    """SRC-13's files: file_name, split and matches of files as records of SCORES_A_FILE matches or so; a file's matches stay together, and are few."""
+    n = files.agg(F.coalesce(F.sum(F.size("matches")), F.lit(0))).first()[0]
+    part = F.pmod(F.xxhash64("file_name"), F.lit(n // SCORES_A_FILE + 1)).alias("part")
+    d = files.select(part, F.struct("file_name", "split", "matches").alias("d"))
+    d.groupBy("part").agg(F.collect_list("d").alias("file_details")).drop("part").write.option("maxRecordsPerFile", 1).json(path)
+
+
 def read_scores(spark: SparkSession, path: str, mismatches: bool = True) -> DataFrame:
     """SRC-13: a row a match of score files; exact ones only, if mismatches aren't wanted."""
     d = spark.read.schema(SCORES).option("multiLine", True).json(path).select(F.explode("file_details").alias("f"))

@@ -88,6 +88,16 @@ def test_many_labels_are_several_label_files(spark, monkeypatch, tmp_path):
     assert len(list((tmp_path / "labels").glob("*.json"))) > 5
 
 
+def test_many_scores_are_several_score_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(records, "SCORES_A_FILE", 20)
+    path, k = f"file://{tmp_path}/scores", F.col("id").cast("string")
+    match = F.struct(k.alias("expected_text"), k.alias("predicted_text"), F.lit(True).alias("full_match"), F.lit(True).alias("line_match"))
+    records.write_scores(spark.range(200).select(F.concat(F.lit("f"), k).alias("file_name"), F.lit("train").alias("split"), F.array(match, match).alias("matches")), path)
+    got = records.read_scores(spark, path).select("file_name", "line_index", "expected_text").collect()
+    assert sorted(map(tuple, got)) == sorted((f"f{i}", at, str(i)) for i in range(200) for at in (0, 1))
+    assert len(list((tmp_path / "scores").glob("*.json"))) > 10
+
+
 def _differs(spark, folder, name, lines, parts):
     """Rows of a query and of its SQL over lineitem (order, part, supplier, line, quantity, tax, flag) and part (key, name, size), if they differ."""
     one = [(o, p, s, n, float(q), 1.0, 0.0, t, f, "O", datetime(2000, 1, 1)) for o, p, s, n, q, t, f in lines]
