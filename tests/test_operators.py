@@ -116,6 +116,17 @@ def test_blob_recovery(spark):
     assert got[5] == (["1 LALs A4C 6.1 cm", "LAAs A4C 23.4 cm2", "LAESV A-L A4C 77 ml"], "unit_boundary_split") and got[6][0] == [] and got[7][0] == []
 
 
+def test_blobs_are_cut_without_their_spans(spark, monkeypatch):
+    asked, spans = [], recover.spans
+    monkeypatch.setattr(recover, "spans", lambda blobs, *a: asked.append(blobs) or spans(blobs, *a))
+    long = [f"{i} {' '.join(['Lv'] * 14)} {i}.5 cm" for i in range(1, 9)]  # lines of more tokens than short spans had
+    rows = [(1, " ".join(long), 8), (2, "A 1 cm B 2 mm", None), (3, "A B C", None), (4, "12 éa 3 cm l Ao 4 s", 2), (5, "AV Vmax", 2)]
+    got = {r.blob_id: (r.lines, r.source) for r in recover.recover_lines(spark.createDataFrame(rows, "blob_id int, text string, target_line_count int")).collect()}
+    assert got[1] == (long, "unit_boundary_split") and got[2] == (["A 1 cm", "B 2 mm"], "unit_boundary_split")
+    assert got[3] == (["A B C"], "fallback_raw_text") and got[4] == (["12 éa 3 cm", "1 Ao 4 s"], "unit_boundary_split")
+    assert sorted(r.blob_id for d in asked for r in d.collect()) == [3, 5]
+
+
 def test_label_files(spark, tmp_path):
     payload = {"version": 1, "task": records.LABEL_TASK, "files": [{"file_name": "a", "file_path": "/x/a", "split": "Train", "measurements": [{"order": 1, "text": " A 1 cm "}, {"order": "x", "text": "B 2 cm"}, {"order": 3, "text": " "}]}]}
     (tmp_path / "l.json").write_text(json.dumps(payload))
