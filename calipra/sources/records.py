@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from calipra.sources.scratch import written
+
 # Version and task of label files.
 LABEL_VERSION, LABEL_TASK = 1, "exact_roi_measurement_transcription"
 #: Lines of a label file, which is one record, at most; and so many are aimed at where there are several.
@@ -59,10 +61,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "file_path", version: str
 
 
 def write_scores(files: DataFrame, path: str) -> None:
-    """SRC-13's files: file_name, split and matches of files as records of SCORES_A_FILE matches or so; a file's matches stay together, and are few."""
-    n = files.agg(F.coalesce(F.sum(F.size("matches")), F.lit(0))).first()[0]
-    part = F.pmod(F.xxhash64("file_name"), F.lit(n // SCORES_A_FILE + 1)).alias("part")
-    d = files.select(part, F.struct("file_name", "split", "matches").alias("d"))
+    """SRC-13's files: file_name, split and matches of files as records of SCORES_A_FILE matches or so; a file's matches stay together, and are few.
+
+    A record is gathered in memory, so as many partitions as records are asked for: a number that is given is not made smaller, whatever Spark thinks of their size.
+    """
+    files = written(files.select("file_name", "split", "matches"), "score-files")
+    n = files.agg(F.coalesce(F.sum(F.size("matches")), F.lit(0))).first()[0] // SCORES_A_FILE + 1
+    part = F.pmod(F.xxhash64("file_name"), F.lit(n)).alias("part")
+    d = files.select(part, F.struct("file_name", "split", "matches").alias("d")).repartition(n, "part")
     d.groupBy("part").agg(F.collect_list("d").alias("file_details")).drop("part").write.option("maxRecordsPerFile", 1).json(path)
 
 

@@ -13,6 +13,7 @@ from calipra.functions.parse import with_parsed
 from calipra.operators import assembly, evaluate, lexicon, pixels, rerank, results
 from calipra.sources import files, records
 
+
 def test_percentiles_are_exact(spark):
     rows = [("a", float(v)) for v in (5, 1, 9, 9, 9, 2, 7)] + [("b", 3.0)] * 40 + [("c", 1e9), ("c", -1e9), ("c", 0.1), ("d", None)]
     d = spark.createDataFrame(rows, "g string, v double")
@@ -107,6 +108,7 @@ def test_many_scores_are_several_score_files(spark, monkeypatch, tmp_path):
     got = records.read_scores(spark, path).select("file_name", "line_index", "expected_text").collect()
     assert sorted(map(tuple, got)) == sorted((f"f{i}", at, str(i)) for i in range(200) for at in (0, 1))
     assert len(list((tmp_path / "scores").glob("*.json"))) > 10
+    assert len({p.name.split("-")[1] for p in (tmp_path / "scores").glob("*.json")}) > 8  # tasks: records aren't gathered by few of them
 
 
 def _differs(spark, folder, name, lines, parts):
