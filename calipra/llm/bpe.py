@@ -22,15 +22,16 @@ CACHE_WORDS = 600_000
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-# Up to U+024F, with few characters left out, the standard library's classes are those of WORDS, and it is faster.
-_OTHER = re.compile("[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\x00-\u024f]").search
-_LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+# Up to U+024F, the characters of WORDS's classes can be named, which the standard library looks up faster than classes. Contractions, which begin with what is no letter or number, come after these.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", " \t-\r\u0085\u00a0"
+_OTHER = re.compile("[^\x00-\u024f]").search
+_LATIN_WORDS = re.compile(f" ?[{_LETTERS}]+| ?[{_NUMBERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_LETTERS}{_NUMBERS}{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+").findall
 _ALL_WORDS = regex.compile(WORDS).findall
 
 
 def split_words(text: str) -> list[str]:
     """The parts of a text that WORDS finds."""
-    return _ALL_WORDS(text) if _OTHER(text) else _LATIN_WORDS(text)
+    return _LATIN_WORDS(text) if text.isascii() or not _OTHER(text) else _ALL_WORDS(text)
 
 
 def byte_chars() -> dict[str, int]:

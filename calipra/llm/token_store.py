@@ -44,10 +44,13 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.model = self.library.model
         self.chars = {b: c for c, b in byte_chars().items()}
+        self.blank = self.chars[ord(" ")]
         self.packed = Packed(self.word)
 
     def word(self, word: bytes) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.chars))]).tobytes()
+        chars = word.decode("latin-1")
+        chars = chars.replace(" ", self.blank) if chars.isascii() and chars.isprintable() else chars.translate(self.chars)  # others stand for themselves
+        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
         if self.plain and not any(a in text for a in self.added):
@@ -127,7 +130,7 @@ def crc_join(parts: list[tuple[int, int]]) -> int:
     """crc32 of what is joined, from the (crc32, bytes) of each part."""
     crc = 0
     for c, n in parts:
-        crc = _times(_shift(n), crc) ^ c
+        crc = (_times(_shift(n), crc) if crc else 0) ^ c
     return crc
 
 
@@ -236,10 +239,10 @@ def _block_starts(spark: SparkSession, path: str, recipes: DataFrame) -> DataFra
     return spark.createDataFrame([(x[0], x[3]) for x in lines], "block int, block_start long")
 
 
-def _hold(doc_id, n_tokens: int, root: bytes, parts: list[dict]) -> None:
-    """A document's parts (seq, digest, n_ids) against its recipe."""
-    whole = all(p["digest"] is not None for p in parts) and [p["seq"] for p in parts] == list(range(len(parts)))
-    if not whole or hashlib.sha256(b"".join(p["digest"] for p in parts)).digest() != root or sum(p["n_ids"] for p in parts) != n_tokens:
+def _hold(doc_id, n_tokens: int, root: bytes, seqs: list[int], digests: list[bytes], sizes: list[int]) -> None:
+    """A document's parts against its recipe."""
+    whole = None not in digests and seqs == list(range(len(seqs)))
+    if not whole or hashlib.sha256(b"".join(digests)).digest() != root or sum(sizes) != n_tokens:
         raise ValueError(f"document {doc_id} does not match its recipe")
 
 
@@ -271,12 +274,14 @@ def read_checksums(spark: SparkSession, path: str, id_type: str = "bigint") -> D
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
-            for doc_id, n, root, parts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                _hold(doc_id, n, root, parts)
-                if gone := [p["digest"].hex() for p in parts if p["crc"] is None]:
-                    raise ValueError(f"chunk {gone[0]} is missing")
-                crcs.append(crc_join([(p["crc"], 4 * p["n_ids"]) for p in parts]))
+            crcs, end = [], 0
+            seqs, digests, sizes, sums = (c.to_pylist() for c in batch.column(4).flatten().flatten())  # of all documents' parts: plain lists, no dict a part
+            for doc_id, n, root, n_parts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), batch.column(4).value_lengths().to_pylist(), strict=True):
+                of = slice(end, end := end + n_parts)
+                _hold(doc_id, n, root, seqs[of], digests[of], sizes[of])
+                if None in sums[of]:
+                    raise ValueError(f"chunk {digests[of][sums[of].index(None)].hex()} is missing")
+                crcs.append(crc_join([(c, 4 * k) for c, k in zip(sums[of], sizes[of], strict=True)]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], names=["doc_id", "row_id", "n_tokens", "ids_crc32"])
 
     recipes = _recipes(spark, path, id_type)
@@ -302,7 +307,7 @@ def read_ids(spark: SparkSession, path: str, wanted: DataFrame | None = None, id
         for batch in batches:
             ids = []
             for doc_id, n, root, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _hold(doc_id, n, root, parts)
+                _hold(doc_id, n, root, *([p[k] for p in parts] for k in ("seq", "digest", "n_ids")))
                 ids.append(np.concatenate([_checked(p["digest"], p["n_ids"], p["payload"]) for p in parts]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 

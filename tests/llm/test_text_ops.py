@@ -313,3 +313,11 @@ def test_components(spark, monkeypatch, links):
         up[max(x, y)] = min(x, y)
     assert got == {x: root(x) for x in list(up) if root(x) != x}
 
+
+
+def test_named_characters_split_as_the_library_does():
+    from calipra.llm import bpe
+
+    kinds = [f(chr(i)) for i in range(0x250) for f in (lambda c: c, lambda c: " " + c, lambda c: "a" + c + "1", lambda c: c + c + "x", lambda c: "'" + c)]
+    assert all(bpe._LATIN_WORDS(t) == bpe._ALL_WORDS(t) for t in [*kinds, "it's 's 'll''ve  \n x", "a  b \t\x1c\x85\xa0 c"])
+    assert not bpe._OTHER("x\u00b2 \x1c")  # these went the slower way before
